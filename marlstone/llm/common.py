@@ -150,6 +150,25 @@ class Rolling:
         return mix64((prefix[ends] - prefix[starts]) * self.down[starts])
 
 
+def hash_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rolling: Rolling, prefixes: tuple = (), span: int = 2_000_000) -> np.ndarray:
+    """(words, 1 + len(prefixes)) hashes of words and of their first n bytes, n in prefixes (0 if a word isn't longer).
+
+    The buffer is hashed in stretches of about `span` bytes, so a long text needs no more memory than a short one."""
+    out = np.zeros((len(starts), 1 + len(prefixes)), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(stops, starts[a] + span, side="right")))
+        first, last = starts[a], stops[b - 1]
+        prefix = rolling.prefix(data[first:last])
+        s, e = starts[a:b] - first, stops[a:b] - first
+        out[a:b, 0] = rolling.ranges(prefix, s, e)
+        for j, n in enumerate(prefixes):
+            long = e - s > n
+            out[a:b, 1 + j][long] = rolling.ranges(prefix, s[long], s[long] + n) + np.uint64(n)
+        a = b
+    return out
+
+
 #: The ASCII white space that separates words: 0x20, 0x09-0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -40,14 +40,7 @@ def features(data, ends, rolling):
     for _ in range(2):
         starts = starts + (~plain[low[starts]] & (stops - starts > 1) if len(starts) else 0)
         stops = stops - (~plain[low[stops - 1]] & (stops - starts > 1) if len(stops) else 0)
-    prefix = rolling.prefix(low)
-    out = np.zeros((len(starts), 1 + len(PREFIXES)), np.uint64)
-    if len(starts):
-        out[:, 0] = rolling.ranges(prefix, starts, stops)
-        for j, n in enumerate(PREFIXES):
-            long = stops - starts > n
-            h = rolling.ranges(prefix, starts[long], starts[long] + n) + np.uint64(n)
-            out[long, 1 + j] = h
+    out = common.hash_words(low, starts, stops, rolling, PREFIXES)
     return out, starts, stops, counts
 
 
