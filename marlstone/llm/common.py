@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A class that holds at least 1/HEAVY of all rows is broadcast; there are at most HEAVY of them.
@@ -70,6 +70,33 @@ def keys_semi(rows: DataFrame, keys: DataFrame, key: str, count: int) -> DataFra
     return rows.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys.hint("merge"), key, "left_semi")
 
 
+def rejoin(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:
+    """Joins facts, one row per row of docs at most, to the rows they tell of, by id and text_hash (null equals null).
+
+    Rows with an id and a text in common are told apart by their order alone: the nth of the docs takes the
+    nth of the facts, by `nth` if facts have that column.  The key columns don't come out."""
+    key = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
+    left = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)}).withColumn("_nth", F.row_number().over(key))
+    right = facts.withColumnsRenamed({"doc_id": "_rid", "text_hash": "_rhash"})
+    right = right.withColumnRenamed("nth", "_rnth") if "nth" in facts.columns else right.withColumn("_rnth", F.row_number().over(Window.partitionBy("_rid", "_rhash").orderBy(F.lit(0))))
+    same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")) & (F.col("_nth") == F.col("_rnth"))
+    return left.join(right, same, how).drop("_id", "_hash", "_nth", "_rid", "_rhash", "_rnth")
+
+
+def without(docs: DataFrame, lost: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text_hash are in lost (distinct, materialised); of a key with `repeats`
+    one row is left.  A short list is broadcast, a long one joined by shuffling."""
+    count, repeats = lost.agg(F.count(F.lit(1)), F.count("repeats")).first()
+    keys = lost.withColumnsRenamed({"doc_id": "_rid", "text_hash": "_rhash", "repeats": "_repeats"})
+    keys = F.broadcast(keys) if count <= BROADCAST_KEYS // 2 else keys.hint("merge")
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
+    same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash"))
+    out = rows.join(keys, same, "left_anti")
+    if repeats:
+        out = out.unionByName(rows.join(keys.filter("_repeats IS NOT NULL"), same, "left_semi").dropDuplicates(["_id", "_hash"]))
+    return out.drop("_id", "_hash")
+
+
 def slices(batch, column: str, limit: int = 4_000_000):
     """Cuts an Arrow record batch into pieces of at most about `limit` bytes of the string or binary column
     (one row at least), so that what NumPy allocates for a piece is bounded by the limit or one text."""

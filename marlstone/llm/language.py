@@ -278,6 +278,22 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), PREDICTED)
 
 
+def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose language is rejected; without a model nothing is known of any, and all stay."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in common.slices(batch, text_col):
+                yield part.filter(pa.array(~shared.value.decide(part.column(text_col).to_pylist())[4]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))

@@ -101,7 +101,7 @@ def schedule(spark, plan: list[tuple], block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken and segments.
+    """One row per row of docs: doc_id, text_hash, source, size, source_size, target, taken and segments.
 
     segments: the taken stretches of the document as (first word, words, times), each of one block.  Sources
     are ordered by code point with null last; a null text or one without a word has size 0 and is taken 0
@@ -131,8 +131,59 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, limi
     taken = parts.groupBy("sid", "at").agg(F.sum(F.col("part.words") * F.col("part.times")).alias("taken"), F.sort_array(F.collect_list("part")).alias("segments"))
     some = lined.filter("size > 0").join(taken, ["sid", "at"], "left")
     none = lined.filter("size = 0").withColumn("taken", F.lit(None).cast("long")).withColumn("segments", F.lit(None).cast(taken.schema["segments"].dataType))
-    return some.unionByName(none).select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "segments")
+    return some.unionByName(none).select("doc_id", F.col("tie").alias("text_hash"), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "segments")
+
+
+def stretches(segments: list) -> list[tuple[int, int]]:
+    """Word ranges (first, end) that together take each segment (first, words, times) as often as it says: the nth
+    range list joins neighbouring segments that are taken n times or more."""
+    out: list[tuple[int, int]] = []
+    for n in range(1, max((s[2] for s in segments), default=0) + 1):
+        run = None
+        for first, words, times in [*segments, (-1, 0, 0)]:
+            if times >= n and run and run[1] == first:
+                run = (run[0], first + words)
+            else:
+                if run:
+                    out.append(run)
+                run = (first, first + words) if times >= n else None
+        if run:
+            out.append(run)
+    return out
+
+
+def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The mix itself: rows of docs whose texts are the taken stretches, each as often as it is taken; a whole
+    document keeps its text as it is.  Columns stay as they are; count_col, if there, is the new text's length.
+    """
+    facts = mixed.filter("taken > 0").select("doc_id", "text_hash", F.col("segments").alias("_segments"))
+    joined = common.rejoin(docs, facts, id_col=id_col, text_col=text_col, how="inner")
+    names = docs.columns
+
+    def run(batches):
+        import re
+
+        import pyarrow as pa
+
+        word = re.compile(r"[^\x20\x09-\x0D]+")
+        for batch in batches:
+            rows, texts = [], []
+            for i in range(batch.num_rows):
+                parts = stretches([(s["first"], s["words"], s["times"]) for s in batch.column("_segments")[i].as_py()])
+                text = batch.column(text_col)[i].as_py()
+                places = [m.span() for m in word.finditer(text)]
+                for first, end in parts:
+                    rows.append(i)
+                    texts.append(text if (first, end) == (0, len(places)) else text[places[first][0] : places[end - 1][1]])
+            out = batch.take(pa.array(rows, pa.int64())) if rows else batch.slice(0, 0)
+            columns = {n: out.column(n) for n in names}
+            columns[text_col] = pa.array(texts, columns[text_col].type)
+            if count_col in columns:
+                columns[count_col] = pa.array([len(t) for t in texts], columns[count_col].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(common.table(spark, sf_dir, "documents")).drop("segments", "source")
+    return mix(common.table(spark, sf_dir, "documents")).drop("segments", "source", "text_hash")

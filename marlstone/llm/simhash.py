@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -55,7 +55,7 @@ def _fingerprints(batches):
 
     for batch in batches:
         found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
 
 def masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
@@ -221,23 +221,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fp (the fingerprint as a signed long), component_id.
+    """One row per row of docs: doc_id, text_hash, fp (the fingerprint as a signed long), root (a fingerprint that stands
+    for the component), component_id.
 
     A null or wordless text has fingerprint zero and is linked like any other; texts of fewer words than a
     shingle are one shingle; repeated rows share their component; component_id is the smallest id that can be
     reached (null ids are passed over, and null comes out only where a component has no other); an empty table
     gives no row; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prints = common.materialize(rows.mapInArrow(_fingerprints, "doc_id long, fp long"), "op8-prints")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    prints = common.materialize(rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"), "op8-prints")
     codes = common.materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "op8-codes")
     roots = common.materialize(components(links(codes.select("fp"), radius=radius)), "op8-roots")
     joined = codes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "n", "least", "root")
     whole = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    linked = common.attach(joined, whole, ["root"], "members", max(1, roots.count())).select("fp", "n", "component_id")
-    alone = codes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "n", F.col("least").alias("component_id"))
+    linked = common.attach(joined, whole, ["root"], "members", max(1, roots.count())).select("fp", "n", "root", "component_id")
+    alone = codes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     classes = common.materialize(linked.unionByName(alone), "op8-classes")
-    return common.attach(prints, classes, ["fp"], "n", max(1, prints.count())).select("doc_id", "fp", "component_id")
+    return common.attach(prints, classes, ["fp"], "n", max(1, prints.count())).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null last; then by a hash of the text)."""
+    near = common.materialize(near_duplicates(docs, radius=radius, id_col=id_col, text_col=text_col).select("doc_id", "text_hash", "root"), "op8-near")
+    who = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    groups = near.groupBy("root").agg(F.min(who).alias("stays"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    inside = common.attach(near, common.materialize(groups, "op8-groups"), ["root"], "members", max(1, near.count()))
+    # Of the rows that are the one that stays in all but their order, the first is kept.
+    order = Window.partitionBy("root", "doc_id", "text_hash").orderBy(F.lit(0))
+    lost = inside.withColumn("nth", F.row_number().over(order)).filter((who != F.col("stays")) | (F.col("nth") > 1))
+    lost = lost.groupBy("doc_id", "text_hash").agg(F.max(F.when(who == F.col("stays"), F.col("nth"))).alias("repeats"))
+    return common.without(docs, common.materialize(lost, "op8-lost"), id_col=id_col, text_col=text_col)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
