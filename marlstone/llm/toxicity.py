@@ -17,12 +17,12 @@ from . import common
 
 FOLDS = 5
 #: Labelled documents of each class that the field is fitted on, about, at most.
-SAMPLE = 2500
+SAMPLE = 1000
 PREFIXES = (3, 4, 5, 6)
-#: A feature is contrastive from so many toxic documents on, and at so many nats of log odds.
-LEAST_DOCS, LEAST_ODDS = 3, 2.0
+#: A feature is contrastive from so many toxic documents and such a share of them on, and at so many nats of log odds.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 3, 0.01, 3.0
 WINDOW = 48
-ROUNDS = 60
+ROUNDS = 40
 
 SCORED = "doc_id long, score double, toxic_words long, span_starts array<long>, span_ends array<long>"
 
@@ -84,24 +84,28 @@ def chain_products(m, start):
 class Field:
     """keys: sorted feature hashes; weights: their pull to toxic; bias; trans: log-potentials of tag pairs."""
 
-    def fit(self, tokens, tags, docs, tables) -> None:
-        """tokens: (words, features) indexes into keys or -1; tags and docs per word; tables: keys."""
+    def fit(self, tokens, tags, docs) -> None:
+        """tokens: (words, features) indexes into keys, len(keys) for none; tags and document per word."""
         import numpy as np
 
-        self.keys = tables
-        n = len(tokens)
+        n, size = len(tokens), len(self.keys)
         pads = -(-n // WINDOW) * WINDOW - n
-        where = np.concatenate([tokens, np.full((pads, tokens.shape[1]), -1)]).reshape(-1, WINDOW, tokens.shape[1])
-        y = np.concatenate([tags, np.zeros(pads, np.int64)]).reshape(-1, WINDOW)
+        flat = np.concatenate([tokens, np.full((pads, tokens.shape[1]), size, tokens.dtype)]).reshape(-1, WINDOW, tokens.shape[1])
+        y = np.concatenate([tags, np.zeros(pads, tags.dtype)]).reshape(-1, WINDOW)
         real = np.concatenate([np.ones(n), np.zeros(pads)]).reshape(-1, WINDOW)
         new = np.concatenate([[True], docs[1:] != docs[:-1], np.ones(pads, bool)]).reshape(-1, WINDOW)
         new[:, 0] = True
-        size = len(tables)
         w = np.zeros(size + 1 + 4)  # features, bias, trans
-        flat = np.where(where < 0, size + 5, where)
-        gather = lambda x: np.append(x[:size], [0] * 6)[flat].sum(axis=2)
         seen = real > 0
-        observed = np.bincount(flat.reshape(-1), np.repeat((y * real).reshape(-1), flat.shape[2]), size + 6)[:size]
+
+        def gather(x):
+            x = np.append(x[:size], 0.0)
+            return sum(x[flat[..., j]] for j in range(flat.shape[2]))
+
+        def spread(x):
+            return sum(np.bincount(flat[..., j].ravel(), x.ravel(), size + 1) for j in range(flat.shape[2]))[:size]
+
+        observed = spread(y * real)
         pair = ~new & seen
         observed_pairs = np.array([(pair[:, 1:] & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for i in (0, 1) for j in (0, 1)], float)
         mean, square = np.zeros_like(w), np.zeros_like(w)
@@ -120,14 +124,16 @@ class Field:
                 beta[:, i] = v / v.sum(axis=1, keepdims=True)
             p = alpha * beta
             p = p[..., 1] / p.sum(axis=2)
-            b = beta.copy()
-            b[..., 1] *= e
-            both = alpha[:, :-1, :, None] * trans * b[:, 1:, None, :]
-            both = both / both.sum(axis=(2, 3), keepdims=True) * pair[:, 1:, None, None]
+            pairs = np.zeros((2, 2))
+            for i in range(1, WINDOW):
+                b = beta[:, i].copy()
+                b[:, 1] *= e[:, i]
+                both = alpha[:, i - 1, :, None] * trans * b[:, None, :]
+                pairs += (both / both.sum(axis=(1, 2), keepdims=True))[pair[:, i]].sum(axis=0)
             grad = np.concatenate([
-                observed - np.bincount(flat.reshape(-1), np.repeat((p * real).reshape(-1), flat.shape[2]), size + 6)[:size],
+                observed - spread(p * real),
                 [(y * real).sum() - (p * real).sum()],
-                observed_pairs - both.sum(axis=(0, 1)).reshape(-1),
+                observed_pairs - pairs.reshape(-1),
             ]) - 0.5 * w
             mean = 0.9 * mean + 0.1 * grad
             square = 0.99 * square + 0.01 * grad**2
@@ -175,15 +181,16 @@ class Field:
             top[some] = np.maximum.reduceat(p, first)
         return np.stack([np.ones(len(counts)), top, np.log1p(total)], axis=1)
 
-    def calibrate(self, x, y) -> None:
-        """Logistic regression of document labels by Newton steps, with a small ridge."""
+    def calibrate(self, x, y, shares) -> None:
+        """Logistic regression of document labels by Newton steps, with a small ridge; shares: how many
+        documents of the table a drawn one of each label stands for, so that scores follow the true proportion."""
         import numpy as np
 
-        w = np.zeros(x.shape[1])
-        for _ in range(30):
+        w, weight = np.zeros(x.shape[1]), np.asarray(shares, float)[y] / np.mean(np.asarray(shares, float)[y])
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-            w = w + np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+            h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+            w = w + np.clip(np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.1 * w), -2, 2)
         self.logistic = w
 
     def score(self, x):
@@ -192,15 +199,35 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(x @ self.logistic, -30, 30)))
 
 
-def _draw(rows: DataFrame, sample: int) -> list:
-    """Of each label, about `sample` rows by a hash of the id: [(doc_id, toxic)]."""
+def _draw(rows: DataFrame, sample: int) -> tuple[list, dict]:
+    """Of each label, about `sample` rows by a hash of the id, and the number of rows of each label."""
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     scale = 1 << 30
     most = F.lit(0)
     for label in (0, 1):
         if counts.get(label):
             most = F.when(F.col("toxic") == label, min(scale, round(sample / counts[label] * scale))).otherwise(most)
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(scale)) < most).collect()
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(scale)) < most).collect(), counts
+
+
+def distinct_documents(hashes: list) -> list[int]:
+    """Indexes of one of each group of near copies, from the documents' word hashes: documents tie if one of four
+    minimal hashes of their three-word shingles agrees.  Copies would make the words of one document look typical."""
+    import numpy as np
+
+    owner: dict = {}
+    out = []
+    for i, h in enumerate(hashes):
+        if len(h) < 3:
+            keys = [(-1, h.tobytes())]
+        else:
+            shingles = common.mix64(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))
+            keys = [(j, int(common.mix64(shingles ^ np.uint64(j)).min())) for j in range(4)]
+        if not any(k in owner for k in keys):
+            out.append(i)
+        for k in keys:
+            owner.setdefault(k, i)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field | None:
@@ -210,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (common.crc_fold(F.col("doc_id"), FOLDS) != 0))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = [(r["doc_id"], r["toxic"]) for r in _draw(known, sample)]
+    drawn, all_ = _draw(known, sample)
+    drawn = [(r["doc_id"], r["toxic"]) for r in drawn]
     if {t for _, t in drawn} != {0, 1}:
         return None
     chosen = spark.createDataFrame(drawn, "doc_id long, toxic int")  # 2 * sample rows, about
@@ -218,36 +246,55 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col: str
     if {r["toxic"] for r in got} != {0, 1}:
         return None
     got.sort(key=lambda r: (r["doc_id"], r["text"]))
-    rolling, hashes, counts = common.Rolling(), [], []
-    for a in range(0, len(got), 200):
-        texts = [r["text"].encode() for r in got[a : a + 200]]
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        h, _, _, c = features(np.frombuffer(b"".join(texts), np.uint8), ends, rolling)
-        hashes.append(h)
-        counts.append(c)
-    counts = np.concatenate(counts)
-    hashes = np.concatenate(hashes)
     y = np.array([r["toxic"] for r in got])
-    doc = np.repeat(np.arange(len(got)), counts)
+    rolling = common.Rolling()
+
+    def parts(step: int = 100):
+        """Feature hashes, words per document and labels of the documents, some at a time: hashing again is cheaper than keeping."""
+        for a in range(0, len(got), step):
+            texts = [r["text"].encode() for r in got[a : a + step]]
+            ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            h, _, _, c = features(np.frombuffer(b"".join(texts), np.uint8), ends, rolling)
+            yield h, c, y[a : a + step]
+
+    single = distinct_documents([h[sum(c[:i]) : sum(c[: i + 1]), 0] for h, c, _ in parts() for i in range(len(c))])
+    got, y = [got[i] for i in single], y[single]
+    if y.min() == y.max():
+        return None
+    # Documents of either label that have a feature.
+    found: list[list] = [[], []]
+    for h, c, label in parts():
+        doc = np.repeat(np.arange(len(c)), c)
+        for t in (0, 1):
+            for d in np.flatnonzero(label == t):
+                found[t].append(np.unique(h[doc == d]))
+    seen = [np.unique(np.concatenate(x), return_counts=True) for x in found]
+    del found
+    (clean_keys, clean), (keys, in_toxic) = seen
+    in_clean = np.zeros(len(keys), np.int64)
+    if len(clean_keys):
+        at = np.minimum(np.searchsorted(clean_keys, keys), len(clean_keys) - 1)
+        in_clean = np.where(clean_keys[at] == keys, clean[at], 0)
+    odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
+    strong = keys[(in_toxic >= max(LEAST_DOCS, LEAST_SHARE * y.sum())) & (odds >= LEAST_ODDS) & (keys != 0)]
 
+    def member(h, of):
+        if not len(of):
+            return np.zeros(h.shape, bool)
+        return of[np.minimum(np.searchsorted(of, h), len(of) - 1)] == h
+
+    # Tags of the words; the field's features are all those of words tagged toxic that two documents have at least.
+    tagged = [(member(h, strong).any(axis=1) & (np.repeat(label, c) == 1), h, c) for h, c, label in parts()]
+    used = np.unique(np.concatenate([h[t].ravel() for t, h, _ in tagged]))
     field = Field()
-    keys, at = np.unique(hashes, return_inverse=True)
-    at = at.reshape(hashes.shape)
-    once = np.unique(at.astype(np.int64) * len(got) + doc[:, None])
-    toxic_doc = y[once % len(got)] == 1
-    in_toxic = np.bincount(once[toxic_doc] // len(got), minlength=len(keys))
-    in_clean = np.bincount(once[~toxic_doc] // len(got), minlength=len(keys))
-    odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_clean + 0.5) / ((1 - y).sum() + 1))
-    strong = (in_toxic >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (keys != 0)
-    tags = (strong[at].any(axis=1) & (y[doc] == 1)).astype(np.int64)
-    # Features of the field: those of tagged words, and those that say the opposite of them.
-    use = np.zeros(len(keys), bool)
-    use[at[tags == 1].reshape(-1)] = True
-    use &= (in_toxic + in_clean >= 2) & (keys != 0)
-    index = np.where(use, np.cumsum(use) - 1, -1)
-    field.fit(index[at], tags, doc, keys[use])
-    x = field.document(field.marginals(hashes, counts), counts)
-    field.calibrate(x, y)
+    field.keys = used[(used != 0) & member(used, keys[in_toxic + in_clean >= 2])]
+    tags = np.concatenate([t for t, _, _ in tagged]).astype(np.int8)
+    counts = np.concatenate([c for _, _, c in tagged])
+    index = np.concatenate([field.places(h).astype(np.int32) for _, h, _ in tagged])
+    del tagged
+    field.fit(index, tags, np.repeat(np.arange(len(got), dtype=np.int32), counts))
+    x = np.concatenate([field.document(field.marginals(h, c), c) for h, c, _ in parts()])
+    field.calibrate(x, y, [all_[t] / max(1, (y == t).sum()) for t in (0, 1)])
     return field
 
 
