@@ -20,7 +20,7 @@ ORDER = 4
 SAMPLE = 600
 FOLDS = 5
 #: Rejection: deviations beyond QUANTILE of the calibration documents' by the factor MARGIN.
-QUANTILE, MARGIN = 0.999, 1.5
+QUANTILE, MARGIN = 0.999, 2.5
 #: Characters over which the deviation is taken to be the same; longer documents deviate as one over the root.
 STEADY = 400
 UNDETERMINED = "und"
@@ -243,6 +243,8 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", text_c
         samples[place[r["lang"]]].append(model.symbols(r["text"]))
     model.fit(samples)
     model.calibrate([r["text"] for r in aside], [place[r["lang"]] for r in aside])
+    del got, learn, aside, samples
+    common.trim()
     return model
 
 
