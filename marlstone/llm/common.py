@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -34,15 +35,60 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def trim() -> None:
+    """Gives memory that the driver's Python has freed back to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """The shuffle files of what is executed inside go when it has ended, and not only when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared scratch folder and reads it back: lineage ends here, so a lost
     executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, name: str, key: str, n: int):
+    """df as a table of the shared scratch folder in n buckets by key, each sorted by it, so that joins and groups
+    by it need neither a shuffle nor, where a bucket is one file, a sort; it is gone with the block."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    with shuffles_dropped(spark):
+        df.write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "snappy").saveAsTable(name)
+    ordering = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(ordering)
+    spark.conf.set(ordering, "true")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.conf.set(ordering, before)
+        spark.sql(f"DROP TABLE {name}")
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,8 +98,8 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with classes, which are unique on key; classes[size] tells how many rows each has.
+def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of rows with classes, which are unique on key; classes[size] tells how many rows each has.
 
     Classes with at least total/HEAVY rows, of which there are at most HEAVY, are broadcast, so their rows
     are never shuffled; the rest is an ordinary equi-join whose keys are all light.
@@ -61,7 +107,7 @@ def attach(rows: DataFrame, classes: DataFrame, key: list[str], size: str, total
     hot = F.col(size) * HEAVY >= F.lit(total)
     heavy, light = classes.filter(hot), classes.filter(~hot)
     return rows.join(F.broadcast(heavy), key).unionByName(
-        rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key)
+        rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(light, key, how)
     )
 
 
@@ -75,26 +121,26 @@ def rejoin(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id", text_co
 
     Rows with an id and a text in common are told apart by their order alone: the nth of the docs takes the
     nth of the facts, by `nth` if facts have that column.  The key columns don't come out."""
-    key = Window.partitionBy("_id", "_hash").orderBy(F.lit(0))
-    left = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)}).withColumn("_nth", F.row_number().over(key))
-    right = facts.withColumnsRenamed({"doc_id": "_rid", "text_hash": "_rhash"})
-    right = right.withColumnRenamed("nth", "_rnth") if "nth" in facts.columns else right.withColumn("_rnth", F.row_number().over(Window.partitionBy("_rid", "_rhash").orderBy(F.lit(0))))
-    same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash")) & (F.col("_nth") == F.col("_rnth"))
-    return left.join(right, same, how).drop("_id", "_hash", "_nth", "_rid", "_rhash", "_rnth")
+    key = Window.partitionBy("_marlstone_id", "_marlstone_hash").orderBy(F.lit(0))
+    left = docs.withColumns({"_marlstone_id": F.col(id_col).cast("long"), "_marlstone_hash": F.xxhash64(text_col)}).withColumn("_marlstone_nth", F.row_number().over(key))
+    right = facts.withColumnsRenamed({"doc_id": "_marlstone_rid", "text_hash": "_marlstone_rhash"})
+    right = right.withColumnRenamed("nth", "_marlstone_rnth") if "nth" in facts.columns else right.withColumn("_marlstone_rnth", F.row_number().over(Window.partitionBy("_marlstone_rid", "_marlstone_rhash").orderBy(F.lit(0))))
+    same = F.col("_marlstone_id").eqNullSafe(F.col("_marlstone_rid")) & (F.col("_marlstone_hash") == F.col("_marlstone_rhash")) & (F.col("_marlstone_nth") == F.col("_marlstone_rnth"))
+    return left.join(right, same, how).drop("_marlstone_id", "_marlstone_hash", "_marlstone_nth", "_marlstone_rid", "_marlstone_rhash", "_marlstone_rnth")
 
 
 def without(docs: DataFrame, lost: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id and text_hash are in lost (distinct, materialised); of a key with `repeats`
     one row is left.  A short list is broadcast, a long one joined by shuffling."""
     count, repeats = lost.agg(F.count(F.lit(1)), F.count("repeats")).first()
-    keys = lost.withColumnsRenamed({"doc_id": "_rid", "text_hash": "_rhash", "repeats": "_repeats"})
+    keys = lost.withColumnsRenamed({"doc_id": "_marlstone_rid", "text_hash": "_marlstone_rhash", "repeats": "_marlstone_repeats"})
     keys = F.broadcast(keys) if count <= BROADCAST_KEYS // 2 else keys.hint("merge")
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(text_col)})
-    same = F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_hash") == F.col("_rhash"))
+    rows = docs.withColumns({"_marlstone_id": F.col(id_col).cast("long"), "_marlstone_hash": F.xxhash64(text_col)})
+    same = F.col("_marlstone_id").eqNullSafe(F.col("_marlstone_rid")) & (F.col("_marlstone_hash") == F.col("_marlstone_rhash"))
     out = rows.join(keys, same, "left_anti")
     if repeats:
-        out = out.unionByName(rows.join(keys.filter("_repeats IS NOT NULL"), same, "left_semi").dropDuplicates(["_id", "_hash"]))
-    return out.drop("_id", "_hash")
+        out = out.unionByName(rows.join(keys.filter("_marlstone_repeats IS NOT NULL"), same, "left_semi").dropDuplicates(["_marlstone_id", "_marlstone_hash"]))
+    return out.drop("_marlstone_id", "_marlstone_hash")
 
 
 def slices(batch, column: str, limit: int = 4_000_000):

@@ -156,7 +156,7 @@ def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col:
     """The mix itself: rows of docs whose texts are the taken stretches, each as often as it is taken; a whole
     document keeps its text as it is.  Columns stay as they are; count_col, if there, is the new text's length.
     """
-    facts = mixed.filter("taken > 0").select("doc_id", "text_hash", F.col("segments").alias("_segments"))
+    facts = mixed.filter("taken > 0").select("doc_id", "text_hash", F.col("segments").alias("_marlstone_segments"))
     joined = common.rejoin(docs, facts, id_col=id_col, text_col=text_col, how="inner")
     names = docs.columns
 
@@ -169,7 +169,7 @@ def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             rows, texts = [], []
             for i in range(batch.num_rows):
-                parts = stretches([(s["first"], s["words"], s["times"]) for s in batch.column("_segments")[i].as_py()])
+                parts = stretches([(s["first"], s["words"], s["times"]) for s in batch.column("_marlstone_segments")[i].as_py()])
                 text = batch.column(text_col)[i].as_py()
                 places = [m.span() for m in word.finditer(text)]
                 for first, end in parts:
