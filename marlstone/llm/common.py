@@ -16,6 +16,18 @@ HEAVY = 1000
 BROADCAST_KEYS = 2_000_000
 
 
+#: Bytes of an Arrow batch between the JVM and Python, at most, unless a row is larger or the session says less.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches go by rows alone by default, and ten thousand long texts fill buffers on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().removesuffix("b")
+    if int(now.rstrip("kmgt")) << 10 * " kmgt".find(now[-1]) * now[-1].isalpha() > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -148,6 +148,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).select("doc_id", F.xxhash64("t").alias("h"), F.unhex(F.sha2("t", 256)).alias("sha"))
+    common.bounded_batches(docs.sparkSession)
     n_docs = docs.count()
     owners = max(common.shuffle_partitions(spark), -(-n_docs // OWNER_ROWS))
     blocks = common.materialize(rows.mapInArrow(_sender(owners, bits), _BLOCKS), "op1-blocks")

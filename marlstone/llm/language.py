@@ -277,6 +277,7 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
         return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("long").alias("letters"), F.lit(True).alias("rejected"))
+    common.bounded_batches(docs.sparkSession)
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), PREDICTED)
 
 
@@ -284,6 +285,7 @@ def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "te
     """docs without the rows whose language is rejected; without a model nothing is known of any, and all stay."""
     if model is None:
         return docs
+    common.bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -316,6 +316,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ch
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("fold", common.crc_fold(F.col("doc_id"), FOLDS).cast("int"))
+    common.bounded_batches(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(common.shuffle_partitions(spark), -(-size // chunk_bytes))
     name = f"op6_chunks_{uuid.uuid4().hex}"

@@ -125,6 +125,7 @@ def media_columns(docs: DataFrame, *, arrays: bool = True, id_col: str = "doc_id
     rows give repeated rows; an empty table gives none; other columns are ignored.  feature is
     `pairs=<fingerprints>;frames=<frames>;crc=<crc32 of times, then codes>`, equal for equal texts.
     """
+    common.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_worker(arrays), FULL if arrays else MEDIA)
 

@@ -156,6 +156,7 @@ def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col:
     """The mix itself: rows of docs whose texts are the taken stretches, each as often as it is taken; a whole
     document keeps its text as it is.  Columns stay as they are; count_col, if there, is the new text's length.
     """
+    common.bounded_batches(docs.sparkSession)
     facts = mixed.filter("taken > 0").select("doc_id", "text_hash", F.col("segments").alias("_marlstone_segments"))
     joined = common.rejoin(docs, facts, id_col=id_col, text_col=text_col, how="inner")
     names = docs.columns

@@ -178,6 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, capacity: int
     """
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
+    common.bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(tokenizer_path, end_id, capacity, classes, slack), PIECES)
 
 

@@ -18,6 +18,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 MIN_LENGTH = 12
 TREES, DEPTH, LEAST = 40, 10, 4
 #: Labelled findings that a forest is grown on, at most.
@@ -237,6 +239,7 @@ def scan(docs: DataFrame, forest: Forest, *, least: float = 0.5, id_col: str = "
     findings; whole texts are searched; an empty table gives no row; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(path_col).cast("string").alias("path"))
+    common.bounded_batches(docs.sparkSession)
     return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(forest), least), FINDINGS)
 
 

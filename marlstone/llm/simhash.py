@@ -230,6 +230,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc
     gives no row; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    common.bounded_batches(docs.sparkSession)
     prints = common.materialize(rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"), "op8-prints")
     codes = common.materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "op8-codes")
     roots = common.materialize(components(links(codes.select("fp"), radius=radius)), "op8-roots")

@@ -338,6 +338,7 @@ def tag(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_co
     if field is None:
         empty = F.array().cast("array<long>")
         return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("toxic_words"), empty.alias("span_starts"), empty.alias("span_ends"))
+    common.bounded_batches(docs.sparkSession)
     return rows.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(field)), SCORED)
 
 
