@@ -141,15 +141,14 @@ def formatter(fmt: str, js_compat: bool = False) -> Callable[[float], str | None
 
 
 def _udf(fmt: str, js_compat: bool):
-    @F.pandas_udf(T.StringType())
     def shown(values):
-        import pandas as pd
+        import pyarrow as pa
 
-        # A float is widened to a double first, so 1.1f shows the digits of the double it is.
+        # Arrow tells null from NaN.  A float is widened to a double first, so 1.1f shows the digits of the double it is.
         text = formatter(fmt, js_compat)
-        return pd.Series([None if gone else text(float(x)) for x, gone in zip(values, values.isna() & ~values.apply(lambda x: isinstance(x, float) and x != x))], dtype=object)
+        return pa.array([None if x is None else text(float(x)) for x in values.to_pylist()], pa.string())
 
-    return shown
+    return F.arrow_udf(shown, T.StringType())
 
 
 def _date(days: Column) -> Column:

@@ -163,14 +163,15 @@ class Dataset:
 
     def run_tagged(self, df: DataFrame, tag: str, action):
         """action(df) under a job tag; cancel(tag) from another thread stops it, and a stopped read gives no rows at all."""
-        self.spark.addTag(tag)
+        context = self.spark.sparkContext
+        context.addJobTag(tag)
         try:
             return action(df)
         finally:
-            self.spark.removeTag(tag)
+            context.removeJobTag(tag)
 
     def cancel(self, tag: str) -> None:
-        self.spark.interruptTag(tag)
+        self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def close(self) -> None:
         """Nothing stays open between reads; label tables are let go."""

@@ -21,7 +21,7 @@ def missing_offsets(raw: np.ndarray, storage: str) -> np.ndarray:
     _, kind, _, first, step = NUMERIC[storage]
     if kind[0] == "i":
         gap = raw.astype(np.int64) - first
-        return np.where(gap >= 0, gap, -1).astype(np.int8)
+        return np.where((gap >= 0) & (gap <= 26), gap, -1).astype(np.int8)
     gap = np.where(raw >= first, raw - raw.dtype.type(first), raw.dtype.type(1))
     hit = (raw >= first) & (gap % raw.dtype.type(step) == 0) & (gap <= raw.dtype.type(26 * step))
     return np.where(hit, (gap // raw.dtype.type(step)).astype(np.int64), -1).astype(np.int8)

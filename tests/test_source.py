@@ -129,10 +129,18 @@ def test_cancelled_read_gives_nothing(spark, folder):
     import threading
 
     ds = open_dta(spark, str(folder))
-    slow = ds.frame().selectExpr("id", "java_method('java.lang.Thread', 'sleep', 50L)")
-    timer = threading.Timer(1.5, ds.cancel, ["stop-me"])
-    timer.start()
-    with pytest.raises(Exception, match="(?i)cancel"):
-        ds.run_tagged(spark.range(10**12), "stop-me", lambda df: df.selectExpr("sum(id * id % 7)").collect())
-    timer.join()
-    assert slow is not None
+    done = threading.Event()
+
+    def stop():
+        while not done.wait(0.3):  # a tag cancels the jobs that run when it is called
+            ds.cancel("stop-me")
+
+    thread = threading.Thread(target=stop)
+    thread.start()
+    try:
+        with pytest.raises(Exception, match="(?i)cancel"):
+            ds.run_tagged(spark.range(10**11), "stop-me", lambda df: df.selectExpr("sum(id % 7)").collect())
+    finally:
+        done.set()
+        thread.join()
+    assert ds.run_tagged(ds.frame(), "go-on", lambda df: df.count()) == 300
