@@ -23,16 +23,21 @@ CLASSES = 32
 SLACK = 1 / 256
 #: Texts are tokenised in segments of about so many characters, cut where tokens never span.
 SEGMENT = 1_000_000
+#: Runs of white space from this length on are more than tiktoken's regular expressions may bear (they fail at a million; 300,000 were seen to pass).
+LONG_SPACE = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
-def load_tokenizer(path: str):
+def load_tokenizer(path: str, json_path: str | None = None):
     """text -> uint32 ids of the byte-level BPE in a `.tiktoken` rank file, without special tokens.
 
+    json_path: the tokenizer's JSON file, whose added tokens are matched in texts as `tokenizers` does; without
+    it they are spelled out like any text.  Segments with very long white space are encoded by `tokenizers`.
     A single space between two characters that aren't white space starts a token in this vocabulary's
     splitting pattern, so a long text can be cut there."""
     import base64
+    import json
 
     import numpy as np
     import public_tokenizers
@@ -40,15 +45,44 @@ def load_tokenizer(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
-    encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    seam = re.compile(r"(?<=\S) (?=\S)")
-
-    def ids(text: str) -> np.ndarray:
-        parts, at = [], 0
+    fast = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    seam, long_space = re.compile(r"(?<=\S) (?=\S)"), re.compile(rf"\s{{{LONG_SPACE}}}")
+    added: dict[str, int] = {}
+    if json_path:
+        with open(json_path, encoding="utf-8") as f:
+            for token in json.load(f)["added_tokens"]:
+                if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+                    raise ValueError(f"added token {token['content']!r} isn't matched literally")
+                added[token["content"]] = token["id"]
+    # The leftmost match counts, and of those the longest.
+    literal = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+    slow: list = []
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_SPACE or not long_space.search(text):
+            return fast(text)
+        if not slow:
+            from tokenizers import Tokenizer
+
+            slow.append(Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json")))
+            slow[0].encode_special_tokens = True  # what is added has been taken out
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    def ordinary(text: str, parts: list) -> None:
+        at = 0
         while len(text) - at > SEGMENT and (m := seam.search(text, at + SEGMENT)):
             parts.append(np.array(encode(text[at : m.start()]), np.uint32))
             at = m.start()
         parts.append(np.array(encode(text[at:]), np.uint32))
+
+    def ids(text: str) -> np.ndarray:
+        parts: list = []
+        at = 0
+        for m in literal.finditer(text) if literal else ():
+            ordinary(text[at : m.start()], parts)
+            parts.append(np.array([added[m.group()]], np.uint32))
+            at = m.end()
+        ordinary(text[at:] if at else text, parts)
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
     return ids
@@ -136,13 +170,13 @@ class Harmonic:
         return out
 
 
-def _packer(path: str, end_id: int, capacity: int, classes: int, slack: float):
+def _packer(path: str, json_path: str | None, end_id: int, capacity: int, classes: int, slack: float):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        ids, bins = load_tokenizer(path), Harmonic(capacity, classes, slack)
+        ids, bins = load_tokenizer(path, json_path), Harmonic(capacity, classes, slack)
         base = TaskContext.get().partitionId() << 40
         end = np.array([end_id], np.uint32)
         kinds = [pa.int64()] * 8
@@ -168,10 +202,10 @@ def _packer(path: str, end_id: int, capacity: int, classes: int, slack: float):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, capacity: int = CAPACITY, classes: int = CLASSES, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, json_path: str | None = None, end_id: int = 1, capacity: int = CAPACITY, classes: int = CLASSES, slack: float = SLACK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length.
 
-    tokenizer_path: `.tiktoken` rank file of the vocabulary.  A null or empty text is its end id alone; a null
+    tokenizer_path: `.tiktoken` rank file of the vocabulary; json_path: see load_tokenizer.  A null or empty text is its end id alone; a null
     id stays null; rows with one id are documents of their own.  An empty table gives no piece.  Other columns
     of docs are ignored.  sequence_id is unique; sequences are padded to the capacity unless sequence_length
     is a power of two.
@@ -179,15 +213,22 @@ def pack(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, capacity: int
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
     common.bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(tokenizer_path, end_id, capacity, classes, slack), PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(tokenizer_path, json_path, end_id, capacity, classes, slack), PIECES)
 
 
 def vocabulary_path() -> str:
-    """The rank file of `byte_bpe_50k.json`: the same vocabulary and ids."""
+    """The rank file of `byte_bpe_50k.json`: the same vocabulary and ids, but for the added tokens."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_path() -> str:
+    """The JSON file of the same tokenizer, which holds its added tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), vocabulary_path())
+    return pack(common.table(spark, sf_dir, "documents"), vocabulary_path(), json_path=added_path())
