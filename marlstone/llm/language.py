@@ -21,6 +21,8 @@ SAMPLE = 600
 FOLDS = 5
 #: Rejection: deviations beyond QUANTILE of the calibration documents' by the factor MARGIN.
 QUANTILE, MARGIN = 0.999, 2.5
+#: Symbols for letters; a sample of more distinct letters has some share a symbol, and none is lost.
+SYMBOLS = 65534
 #: Characters over which the deviation is taken to be the same; longer documents deviate as one over the root.
 STEADY = 400
 UNDETERMINED = "und"
@@ -58,17 +60,17 @@ def squeeze(x, space):
 
 
 class Model:
-    """Symbols are dense: 0 unknown, 1 space, then the letters of the sample; an n-gram is its symbols, 16 bits each."""
+    """Symbols are dense: 0 a letter not in the sample, 1 space, then the letters of the sample; an n-gram is its symbols, 16 bits each."""
 
     def __init__(self, letters, languages: list[str]) -> None:
         import numpy as np
 
         known = np.unique(letters)
-        known = known[known != 32][: 65534]
-        self.languages, self.size = languages, len(known) + 2
+        known = known[known != 32]
+        self.languages, self.size = languages, min(len(known), SYMBOLS) + 2
         table = letter_table()
         ids = np.zeros(0x110000, np.uint16)
-        ids[known] = np.arange(2, len(known) + 2)
+        ids[known] = np.arange(len(known)) % SYMBOLS + 2
         ids[32] = 1
         self.ids = ids[table]
 
@@ -211,7 +213,7 @@ class Model:
         ce, letters = self.cross_entropies(texts)
         best = ce.argmin(axis=1)
         low = ce[np.arange(len(texts)), best]
-        score = 1 / np.exp(np.minimum(0.0, -(ce - low[:, None]) * np.minimum(letters, 10_000)[:, None])).sum(axis=1)
+        score = 1 / np.exp(np.minimum(0.0, -(ce - low[:, None]) * letters[:, None])).sum(axis=1)
         rejected = (letters == 0) | ((low - self.mean[best]) * np.sqrt(letters + STEADY) > self.most)
         return best, score, low, letters, rejected
 
@@ -282,7 +284,9 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
 
 def keep_identified(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose language is rejected; without a model nothing is known of any, and all stay."""
+    """docs without the rows whose language is rejected; without a model nothing is known of any, and all stay.
+
+    Null texts and those without a letter are rejected; null ids and repeated rows stay; an empty table gives no row."""
     if model is None:
         return docs
     common.bounded_batches(docs.sparkSession)
