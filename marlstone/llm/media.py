@@ -1,7 +1,7 @@
 """Media columns: 8-bit WAV payloads, short-time Fourier transforms and spectral-peak pair fingerprints.
 
-Each payload is stored as an 8-bit mono WAV by the `wave` module and read back by it.  Frames of FRAME
-samples give power spectra (Hann window, real FFT); the strongest bin of each of BANDS frequency bands in a
+Each payload is stored as an 8-bit mono WAV by the `wave` module and read back by it.  Frames of FRAME samples, one
+every HOP samples, give power spectra (Hann window, real FFT); the strongest bin of each of BANDS frequency bands in a
 frame is a peak if it stands above the band's mean by PROMINENCE.  Each peak is paired with the peaks of the
 next REACH frames in the same or the neighbouring band: a fingerprint is (frame of the first peak, code) with
 code = first bin, second bin and distance in frames.  One pass over the table, no shuffle.
@@ -16,7 +16,7 @@ from . import common
 
 BLOCK = 576
 RATE = 8000
-FRAME = 576
+FRAME, HOP = 576, 288
 BANDS = 6
 REACH = 3
 PROMINENCE = 4.0
@@ -52,12 +52,13 @@ def peaks(samples):
     """Bin of the peak of each frame and band, or -1: (frames, BANDS) int16."""
     import numpy as np
 
-    n = len(samples) // FRAME
+    n = max(0, (len(samples) - FRAME) // HOP + 1)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] if n else None
     window = np.hanning(FRAME).astype(np.float32)
     edges = np.linspace(1, FRAME // 2 + 1, BANDS + 1).astype(int)
     out = np.empty((n, BANDS), np.int16)
     for a in range(0, n, CHUNK):
-        x = samples[a * FRAME : min(n, a + CHUNK) * FRAME].reshape(-1, FRAME).astype(np.float32)
+        x = frames[a : a + CHUNK].astype(np.float32)
         spectrum = np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1)
         power = spectrum.real**2 + spectrum.imag**2
         for b in range(BANDS):
@@ -76,8 +77,8 @@ def pairs(found):
     times, codes, order = [], [], []
     for d in range(1, min(REACH, n - 1) + 1):
         for b in range(BANDS):
-            for c in (b, b + 1):
-                if c < BANDS:
+            for c in (b - 1, b, b + 1):
+                if 0 <= c < BANDS:
                     first, second = found[:-d, b].astype(np.int32), found[d:, c].astype(np.int32)
                     at = np.flatnonzero((first >= 0) & (second >= 0))
                     times.append(at.astype(np.int32))
@@ -111,7 +112,7 @@ def _worker(arrays: bool):
                     back = from_wav(media)
                     times, codes = pairs(peaks(np.frombuffer(back, np.uint8)))
                     digest = zlib.crc32(codes.astype("<i4").tobytes(), zlib.crc32(times.astype("<i4").tobytes()))
-                    row = (doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"pairs={len(codes)};frames={len(back) // FRAME};crc={digest:08x}")
+                    row = (doc, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"pairs={len(codes)};frames={(len(back) - FRAME) // HOP + 1};crc={digest:08x}")
                     rows.append((*row, times, codes) if arrays else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -131,4 +132,4 @@ def media_columns(docs: DataFrame, *, arrays: bool = True, id_col: str = "doc_id
 
 
 def op3_media_columns(spark, sf_dir: str) -> DataFrame:
-    return media_columns(common.table(spark, sf_dir, "documents"), arrays=False)
+    return media_columns(common.table(spark, sf_dir, "documents"))
