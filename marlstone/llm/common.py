@@ -128,13 +128,19 @@ def keys_semi(rows: DataFrame, keys: DataFrame, key: str, count: int) -> DataFra
     return rows.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys.hint("merge"), key, "left_semi")
 
 
-def rejoin(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", how: str = "left") -> DataFrame:
+def rejoin(docs: DataFrame, facts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", how: str = "left") -> DataFrame:
     """Joins facts, one row per row of docs at most, to the rows they tell of, by id and text_hash (null equals null).
 
-    Rows with an id and a text in common are told apart by their order alone: the nth of the docs takes the
-    nth of the facts, by `nth` if facts have that column.  The key columns don't come out."""
+    Rows with an id and a text in common are told apart by `source`, if facts have that column, and then by their order
+    alone: the nth of the docs takes the nth of the facts, by `nth` if facts have that column.  The key columns don't
+    come out."""
+    if "source" in facts.columns:
+        facts = facts.withColumn("text_hash", F.xxhash64("text_hash", "source")).drop("source")
+        text = F.xxhash64(F.xxhash64(text_col), F.col(source_col).cast("string"))
+    else:
+        text = F.xxhash64(text_col)
     key = Window.partitionBy("_marlstone_id", "_marlstone_hash").orderBy(F.lit(0))
-    left = docs.withColumns({"_marlstone_id": F.col(id_col).cast("long"), "_marlstone_hash": F.xxhash64(text_col)}).withColumn("_marlstone_nth", F.row_number().over(key))
+    left = docs.withColumns({"_marlstone_id": F.col(id_col).cast("long"), "_marlstone_hash": text}).withColumn("_marlstone_nth", F.row_number().over(key))
     right = facts.withColumnsRenamed({"doc_id": "_marlstone_rid", "text_hash": "_marlstone_rhash"})
     right = right.withColumnRenamed("nth", "_marlstone_rnth") if "nth" in facts.columns else right.withColumn("_marlstone_rnth", F.row_number().over(Window.partitionBy("_marlstone_rid", "_marlstone_rhash").orderBy(F.lit(0))))
     same = F.col("_marlstone_id").eqNullSafe(F.col("_marlstone_rid")) & (F.col("_marlstone_hash") == F.col("_marlstone_rhash")) & (F.col("_marlstone_nth") == F.col("_marlstone_rnth"))

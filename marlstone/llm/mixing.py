@@ -20,8 +20,8 @@ from . import common
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
-#: Words in a block.
-BLOCK = 256
+#: Words in a block, at most; a small source has blocks so much smaller that there are so many of them.
+BLOCK, LEAST_BLOCKS = 256, 100
 #: Slots whose ranks are counted together, and documents of a source whose positions are.
 PIECE = 8192
 #: Fractional part of the golden ratio times 2**64 (fixed value).
@@ -65,7 +65,9 @@ def _lines(rows: DataFrame, n_docs: int) -> DataFrame:
 
 
 def width(size: int, block: int = BLOCK) -> int:
-    """Words in a block of a source: at most `block`, and such that its last block is about as long as the others."""
+    """Words in a block of a source: at most `block` and about size/LEAST_BLOCKS, and such that its last block is about as
+    long as the others."""
+    block = max(1, min(block, size // LEAST_BLOCKS))
     return max(1, -(-size // max(1, -(-size // block))))
 
 
@@ -77,7 +79,10 @@ def golden(slot):
 
 
 def schedule(spark, plan: list[tuple], block: int = BLOCK) -> DataFrame:
-    """slot, sid, rank, block for the sources of plan: (sid, size, target)."""
+    """slot, sid, rank, block for the sources of plan: (sid, size, target).
+
+    The points give each source its share of the slots but for a few; those that a source has too many go, and those
+    it lacks come last, so that each has round(target / width)."""
     need = [(sid, target / width(size, block), -(-size // width(size, block))) for sid, size, target in plan if target > 0]
     total = sum(x for _, x, _ in need)
     n = round(total)
@@ -97,6 +102,13 @@ def schedule(spark, plan: list[tuple], block: int = BLOCK) -> DataFrame:
     before = slots.groupBy("sid", "piece").agg(F.count(F.lit(1)).alias("slots")).select("sid", "piece", F.coalesce(F.sum("slots").over(over), F.lit(0)).alias("before"))
     own = Window.partitionBy("sid", "piece").orderBy("slot")
     ranked = slots.withColumn("within", F.row_number().over(own) - 1).join(before, ["sid", "piece"]).withColumn("rank", F.col("before") + F.col("within"))
+    ranked = ranked.select("slot", "sid", "rank", "blocks")
+    got = {r["sid"]: r["count"] for r in slots.groupBy("sid").count().collect()}  # one row per source
+    want = {sid: round(x) for sid, x, _ in need}
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(list(want.items()), "sid int, want long")), "sid").filter("rank < want").drop("want")
+    late = [(sid, r, blocks) for sid, _, blocks in need for r in range(got.get(sid, 0), want[sid])]  # some per source
+    if late:
+        ranked = ranked.unionByName(spark.createDataFrame([(n + i, *x) for i, x in enumerate(late)], "slot long, sid int, rank long, blocks long"))
     return ranked.select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
@@ -107,11 +119,13 @@ def mix(docs: DataFrame, *, weights: tuple = WEIGHTS, share: float = SHARE, limi
     are ordered by code point with null last; a null text or one without a word has size 0 and is taken 0
     times; null ids are kept and repeated rows are documents of their own; an empty table gives no row.  Other
     columns are ignored.  taken never exceeds limit times size because a source's blocks are taken in turn and
-    its target is at most that; the last slots are dropped from a source that would pass it.
+    its target is at most that.  limit is a whole number, since a word is taken whole times.
     """
+    if limit != int(limit):
+        raise ValueError("limit must be a whole number")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("tie"))
-    rows = common.materialize(rows.withColumn("h", F.xxhash64("doc_id", F.lit(1618))), "op10-sizes")
+    rows = common.materialize(rows.withColumn("h", F.xxhash64("doc_id", "source", "tie", F.lit(1618))), "op10-sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in found]
@@ -152,13 +166,15 @@ def stretches(segments: list) -> list[tuple[int, int]]:
     return out
 
 
-def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", count_col: str = "n_chars") -> DataFrame:
     """The mix itself: rows of docs whose texts are the taken stretches, each as often as it is taken; a whole
     document keeps its text as it is.  Columns stay as they are; count_col, if there, is the new text's length.
+    Null texts and those without a word are in no mix; null ids stay; repeated rows take their stretches in any
+    order; an empty table gives no row.
     """
     common.bounded_batches(docs.sparkSession)
-    facts = mixed.filter("taken > 0").select("doc_id", "text_hash", F.col("segments").alias("_marlstone_segments"))
-    joined = common.rejoin(docs, facts, id_col=id_col, text_col=text_col, how="inner")
+    facts = mixed.filter("taken > 0").select("doc_id", "text_hash", "source", F.col("segments").alias("_marlstone_segments"))
+    joined = common.rejoin(docs, facts, id_col=id_col, text_col=text_col, source_col=source_col, how="inner")
     names = docs.columns
 
     def run(batches):
