@@ -45,14 +45,16 @@ class Dataset:
         self.files = expand(path)
         numeric_117 = self.options.get("legacy_v117_codes") == "true"
         encoding = self.options.get("encoding", "utf-8")
-        self.nobs, self._tables = 0, {}
+        self.nobs, self._tables, self._by_file = 0, {}, {}
         self._first: DatasetInfo | None = None
         for f in self.files:
             with Source(f) as source:
                 info = read_info(source, numeric_117=numeric_117)
                 self._first = self._first or info
                 self.nobs += info.nobs
-                self._tables |= read_tables(source, info, encoding)
+                tables = read_tables(source, info, encoding)
+                self._tables |= tables
+                self._by_file[f] = {v.name: tables.get(v.value_label, {}) for v in info.variables}
 
     # Metadata
 
@@ -84,7 +86,8 @@ class Dataset:
         return self.spark.createDataFrame([(t, v, x) for t, d in self._tables.items() for v, x in d.items()], LABELS)
 
     def long_strings(self) -> DataFrame:
-        """(v, o, kind, text, content) of the long-string records, parsed in one task per file; of records with one key the last counts.
+        """(v, o, kind, text, content) of the long-string records, parsed in one task per file; of records with one key the
+        last counts.  Keys hold in their own file, so records of several files have `_file` too.
         For sections too large to look up in each task: read with strl="pointer" and resolve_long_strings()."""
         numeric_117 = self.options.get("legacy_v117_codes") == "true"
         encoding = self.options.get("encoding", "utf-8")
@@ -92,13 +95,13 @@ class Dataset:
         def parse(batches):
             import pyarrow as pa
 
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64()]
             for batch in batches:
                 for path in batch.column("path").to_pylist():
                     with Source(path) as source:
                         held, size = [], 0
                         for n, (v, o, kind, content) in enumerate(long_strings(source, read_info(source, numeric_117=numeric_117))):
-                            held.append((v, o, kind, long_text(kind, content, encoding), content, n))
+                            held.append((path, v, o, kind, long_text(kind, content, encoding), content, n))
                             size += len(content)
                             if size > 1 << 24:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
@@ -106,11 +109,11 @@ class Dataset:
                         if held:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
 
-        names = ["v", "o", "kind", "text", "content", "n"]
+        names = ["_file", "v", "o", "kind", "text", "content", "n"]
         paths = self.spark.createDataFrame([(f,) for f in self.files], "path string").repartition(max(1, len(self.files)))
-        rows = paths.mapInArrow(parse, LONG + ", n long")
-        last = rows.groupBy("v", "o").agg(F.max_by(F.struct("kind", "text", "content"), "n").alias("x"))
-        return last.select("v", "o", "x.kind", "x.text", "x.content")
+        rows = paths.mapInArrow(parse, "_file string, " + LONG + ", n long")
+        last = rows.groupBy("_file", "v", "o").agg(F.max_by(F.struct("kind", "text", "content"), "n").alias("x"))
+        return last.select(*(["_file"] if len(self.files) > 1 else []), "v", "o", "x.kind", "x.text", "x.content")
 
     # Rows
 
@@ -142,10 +145,12 @@ class Dataset:
 
     def with_labels(self, df: DataFrame, columns: list[str], suffix: str = "_label") -> DataFrame:
         """df with the label text of each column; null without a table or an entry.  Missing values have labels
-        of their own if df was read with missing="tagged" or "struct"."""
+        of their own if df was read with missing="tagged" or "struct".  Files whose tables for a column differ
+        need `_file` in df (file=True), as each row has the labels of its own file."""
         for name in columns:
-            v = next(x for x in self.info.variables if x.name == name)
-            df = add_label(df, name, self._tables.get(v.value_label, {}), name + suffix)
+            of = {f: tables[name] for f, tables in self._by_file.items()}
+            first = of[self.files[0]]
+            df = add_label(df, name, first, name + suffix) if all(t == first for t in of.values()) else add_file_labels(df, name, of, name + suffix)
         return df
 
     def displayed(self, columns: list[str] | None = None, **options) -> DataFrame:
@@ -176,6 +181,7 @@ class Dataset:
     def close(self) -> None:
         """Nothing stays open between reads; label tables are let go."""
         self._tables = {}
+        self._by_file = {f: {name: {} for name in tables} for f, tables in self._by_file.items()}
 
 
 def label_lookup_key(df: DataFrame, name: str) -> Column:
@@ -201,16 +207,30 @@ def add_label(df: DataFrame, name: str, table: dict[int, str], into: str) -> Dat
     if len(table) <= MAP_ENTRIES:
         entries = F.map_from_arrays(F.array(*[F.lit(k) for k in table]), F.array(*[F.lit(t) for t in table.values()]))
         return df.withColumn(into, F.try_element_at(entries, key))
-    labels = df.sparkSession.createDataFrame(list(table.items()), f"_key int, `{into}` string")
-    return df.withColumn("_key", key).join(labels, "_key", "left").drop("_key")
+    labels = df.sparkSession.createDataFrame(list(table.items()), f"_marlstone_key int, `{into}` string")
+    return df.withColumn("_marlstone_key", key).join(labels, "_marlstone_key", "left").drop("_marlstone_key")
+
+
+def add_file_labels(df: DataFrame, name: str, tables: dict[str, dict[int, str]], into: str) -> DataFrame:
+    """The same where each file (column `_file`) has a table of its own."""
+    if "_file" not in df.columns:
+        raise ValueError(f"the files have different labels for {name}: read with file=True")
+    rows = [(f, k, t) for f, table in tables.items() for k, t in table.items()]
+    labels = df.sparkSession.createDataFrame(rows, f"_marlstone_file string, _marlstone_key int, `{into}` string")
+    same = (F.col("_file") == F.col("_marlstone_file")) & (label_lookup_key(df, name) == F.col("_marlstone_key"))
+    return df.join(labels, same, "left").drop("_marlstone_file", "_marlstone_key")
 
 
 def resolve_long_strings(df: DataFrame, texts: DataFrame, columns: list[str], *, dangling: str | None = "") -> DataFrame:
     """Replaces pointer columns (v, o) by their texts with one left join per column; a null pointer is empty text,
-    a dangling one `dangling`."""
+    a dangling one `dangling`.  Texts of several files have `_file`, and then df must have it too (file=True)."""
+    files = "_file" in texts.columns
+    if files and "_file" not in df.columns:
+        raise ValueError("pointers hold in their own file: read with file=True")
     for name in columns:
-        side = texts.select(F.col("v").alias("_v"), F.col("o").alias("_o"), F.col("text").alias("_text"))
-        df = df.join(side, (F.col(f"`{name}`.v") == F.col("_v")) & (F.col(f"`{name}`.o") == F.col("_o")), "left")
-        shown = F.when(F.col(f"`{name}`").isNull(), F.lit("")).otherwise(F.coalesce("_text", F.lit(dangling).cast("string")))
-        df = df.withColumn(name, shown).drop("_v", "_o", "_text")
+        side = texts.select(*([F.col("_file").alias("_marlstone_file")] if files else []), F.col("v").alias("_marlstone_v"), F.col("o").alias("_marlstone_o"), F.col("text").alias("_marlstone_text"))
+        same = (F.col(f"`{name}`.v") == F.col("_marlstone_v")) & (F.col(f"`{name}`.o") == F.col("_marlstone_o"))
+        df = df.join(side, same & (F.col("_file") == F.col("_marlstone_file")) if files else same, "left")
+        shown = F.when(F.col(f"`{name}`").isNull(), F.lit("")).otherwise(F.coalesce("_marlstone_text", F.lit(dangling).cast("string")))
+        df = df.withColumn(name, shown).drop("_marlstone_file", "_marlstone_v", "_marlstone_o", "_marlstone_text")
     return df

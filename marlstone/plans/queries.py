@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..functions.missing import double_bits_tag, float_bits_tag, label_key, missing_tag
+from ..functions.missing import double_bits_tag, float_bits_tag, is_missing, is_missing_cell, label_key, missing_cell, missing_tag
 from ..operators.dataset import Dataset, open_dta, resolve_long_strings
 from ..sources.buffers import binary_frame
 from .encode import encode_frame
@@ -100,6 +100,13 @@ def strl_documents_joined(spark, sf_dir):
     return resolve_long_strings(ds.frame(), ds.long_strings(), ["text"])
 
 
+@query(DOCUMENTS)
+def strl_documents_many_files(spark, sf_dir):
+    """Four files whose pointers have the same values."""
+    ds = dataset(table(spark, sf_dir, "documents").repartition(4, "doc_id"), {"doc_id": "long", "text": "strL"}, options={"strl": "pointer", "file": True})
+    return resolve_long_strings(ds.frame(), ds.long_strings(), ["text"]).drop("_file")
+
+
 @query("SELECT count(*) AS n, count(DISTINCT text) AS texts, sum(strlen(text) + 1) AS bytes FROM documents WHERE text <> ''")
 def long_strings_frame(spark, sf_dir):
     ds = dataset(table(spark, sf_dir, "documents").coalesce(1), {"doc_id": "long", "text": "strL"})
@@ -192,6 +199,8 @@ _shown("fmt_fixed", "lineitem", "l_orderkey", "l_extendedprice", "double", "%12.
 _shown("fmt_fixed_comma", "lineitem", "l_orderkey", "l_extendedprice", "double", "%12.2fc", "format('{:,.2f}', l_extendedprice)")
 _shown("fmt_scientific", "orders", "o_orderkey", "o_totalprice", "double", "%16.9e", "printf('%.9e', o_totalprice)")
 _shown("fmt_general", "part", "p_partkey", "p_retailprice", "double", "%9.0g", "regexp_replace(p_retailprice::VARCHAR, '\\.0$', '')")
+_shown("fmt_general_comma", "orders", "o_orderkey", "o_orderkey * 1000", "double", "%16.0gc", "format('{:,}', o_orderkey * 1000)")
+_shown("fmt_fallback", "orders", "o_orderkey", "o_orderkey", "double", "%no", "o_orderkey::VARCHAR")
 _shown("fmt_td", "lineitem", "l_orderkey", "datediff(l_shipdate, DATE'1960-01-01')", "long", "%td", "lower(strftime(l_shipdate, '%d%b%Y'))")
 _shown("fmt_tc", "events", "event_id", "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1960-01-01 00:00:00', ts) / 1000", "double", "%tc", "lower(strftime(ts, '%d%b%Y')) || strftime(ts, ' %H:%M:%S')")
 _shown("fmt_tw", "orders", "o_orderkey", "(year(o_orderdate) - 1960) * 52 + least((dayofyear(o_orderdate) - 1) div 7, 51)", "int", "%tw", "year(o_orderdate) || 'w' || (least((dayofyear(o_orderdate) - 1) // 7, 51) + 1)")
@@ -200,6 +209,32 @@ _shown("fmt_tq", "orders", "o_orderkey", "(year(o_orderdate) - 1960) * 4 + quart
 _shown("fmt_ty", "orders", "o_orderkey", "year(o_orderdate)", "int", "%ty", "year(o_orderdate)::VARCHAR")
 
 
+@query("""SELECT l_orderkey::INTEGER AS l_orderkey, l_linenumber::INTEGER AS l_linenumber, l_quantity::FLOAT AS x, '.' AS y__missing FROM lineitem""")
+def scan_float(spark, sf_dir):
+    """Storage `float`: values, and the first missing code."""
+    rows = table(spark, sf_dir, "lineitem").withColumns({"x": F.col("l_quantity").cast("float"), "y": F.lit(2.0**127).cast("float")})
+    ds = dataset(rows, {"l_orderkey": "long", "l_linenumber": "long", "x": "float", "y": "float"})
+    return ds.frame(missing="tagged").select("l_orderkey", "l_linenumber", "x", "y__missing")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber = 1 AS gone, CASE WHEN l_linenumber = 1 THEN 2147483621 END::INTEGER AS k FROM lineitem")
+def missing_predicates(spark, sf_dir):
+    raw = F.when(F.col("l_linenumber") == 1, 101).otherwise(F.col("l_linenumber"))
+    cell = F.when(is_missing(raw, "byte"), missing_cell(".", "int")).otherwise(F.struct(raw.cast("int").alias("value"), F.lit(None).cast("string").alias("missing")))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cell.alias("cell"))
+    return rows.select("l_orderkey", "l_linenumber", is_missing_cell("cell").alias("gone"), label_key(F.col("cell.missing")).alias("k"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, format('{:.2f}', l_extendedprice) AS price, CASE WHEN l_linenumber = 1 THEN '.a' END AS tag, CASE WHEN l_linenumber = 1 THEN 2147483622 END::INTEGER AS k FROM lineitem""")
+def sql_names(spark, sf_dir):
+    from ..operators.sql import register_functions
+
+    register_functions(spark)
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("marlstone_lineitem")
+    return spark.sql("""SELECT l_orderkey, l_linenumber, dta_format(l_extendedprice, '%12.2f') AS price, tag, dta_missing_key(tag) AS k
+      FROM (SELECT *, dta_missing_tag(CASE WHEN l_linenumber = 1 THEN 102 ELSE 1 END, 'byte') AS tag FROM marlstone_lineitem)""")
+
+
 @query("""SELECT * FROM (VALUES (0, 'c_custkey', 'long', 4, 0::BIGINT, 65528, '%12.0g', 'Key', ''), (1, 'c_name', 'str25', 25, 4::BIGINT, 25, '%9s', '', ''),
   (2, 'c_nationkey', 'byte', 1, 29::BIGINT, 65530, '%9.0g', 'Nation', 'nations'), (3, 'c_acctbal', 'double', 8, 30::BIGINT, 65526, '%9.0g', '', ''), (4, 'c_mktsegment', 'str12', 12, 38::BIGINT, 12, '%9s', '', ''))
   t(position, name, storage_type, width, "offset", type_code, format, label, value_label)""")

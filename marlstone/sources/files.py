@@ -19,6 +19,10 @@ def _split(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+#: Reads without a byte that are borne (fixed value).
+RETRIES = 2
+
+
 class Source:
     """read(offset, n) gives exactly n bytes or fails."""
 
@@ -31,7 +35,10 @@ class Source:
 
     def read(self, offset: int, n: int) -> bytes:
         self.file.seek(offset)
-        out = self.file.read(n)
+        out, empty = self.file.read(n), 0
+        while len(out) < n and empty <= RETRIES:  # remote files may give less than there is
+            more = self.file.read(n - len(out))
+            out, empty = out + more, empty + (not more)
         if len(out) < n:
             raise DtaError(f"Unexpected EOF while reading {n} bytes at offset {offset}")
         return out

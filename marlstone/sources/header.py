@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from .layout import LAYOUTS, LEGACY, SECTIONS, UNSUPPORTED, DatasetInfo, DtaError, Variable, storage_type
 
 PROBE = 65536
-#: How far a section's tag may lie behind the offset in the map.
-DRIFT = 4096
 
 
 def clean(raw: bytes, encoding: str = "utf-8") -> str:
@@ -100,11 +98,10 @@ def read_tagged(source, *, numeric_117: bool = False) -> DatasetInfo:
         need = nvar * width
         if not 0 <= start <= source.size:
             raise DtaError(f"Missing section tag at offset {start}")
-        block = source.read(start, min(source.size - start, len(mark) + need + DRIFT))
-        at = block.find(mark)
+        at = find(source, mark, start)
         if at < 0:
             raise DtaError("Missing <variable_types> tag" if name == "variable_types" else f"Missing section tag at offset {start}")
-        body = block[at + len(mark) : at + len(mark) + need]
+        body = source.read(at + len(mark), min(need, source.size - at - len(mark)))
         if len(body) < need:
             raise DtaError("Corrupt .dta file: variable_types section truncated" if name == "variable_types" else "Corrupt .dta file: section truncated")
         return body
@@ -134,6 +131,21 @@ def legacy_prefix_size(nvar: int, version: int) -> int:
     return 109 + nvar * (1 + lay.name + lay.format + lay.label_name + lay.label) + 2 * (nvar + 1)
 
 
+def legacy_metadata_size(nvar: int, version: int) -> int:
+    """Bytes that hold the metadata of a legacy file with an allowance for its expansion fields (fixed value)."""
+    return legacy_prefix_size(nvar, version) + 65536
+
+
+def find(source, mark: bytes, start: int, step: int = 1 << 16) -> int:
+    """Offset of the first mark at or after start, however far; -1 without one."""
+    while start + len(mark) <= source.size:
+        at = source.read(start, min(step + len(mark) - 1, source.size - start)).find(mark)
+        if at >= 0:
+            return start + at
+        start += step
+    return -1
+
+
 def read_legacy(source) -> DatasetInfo:
     if source.size < 109:
         raise DtaError("Not a valid .dta file: too small for legacy header")

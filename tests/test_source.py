@@ -144,3 +144,37 @@ def test_cancelled_read_gives_nothing(spark, folder):
         done.set()
         thread.join()
     assert ds.run_tagged(ds.frame(), "go-on", lambda df: df.count()) == 300
+
+
+def test_files_with_labels_and_long_strings_of_their_own(spark, tmp_path):
+    """Keys and label tables hold in their own file."""
+    import shutil
+
+    from marlstone.operators import open_dta, resolve_long_strings
+    from marlstone.plans.encode import encode_frame
+
+    (tmp_path / "all").mkdir()
+    want = set()
+    for i in range(2):
+        rows = spark.createDataFrame([(10 * i + k, k, f"text {i} {k}", k) for k in (1, 2)], "id long, lab int, t string, _key int").coalesce(1)
+        kinds = {"id": "long", "lab": "byte", "t": "strL", "_key": "byte"}
+        made = encode_frame(rows, kinds, tables={"names": {1: f"one {i}", 2: f"two {i}"}}, value_labels={"lab": "names"})
+        files = open_dta(spark, made).files
+        assert len(files) == 1
+        shutil.copy(files[0].removeprefix("file://"), tmp_path / "all" / f"{i}.dta")
+        want |= {(10 * i + k, f"text {i} {k}", f"{name} {i}", k) for k, name in ((1, "one"), (2, "two"))}
+    ds = open_dta(spark, str(tmp_path / "all"))
+    df = resolve_long_strings(ds.frame(strl="pointer", file=True), ds.long_strings(), ["t"])
+    assert {(r["id"], r["t"], r["lab_label"], r["_key"]) for r in ds.with_labels(df, ["lab"]).collect()} == want
+    with pytest.raises(ValueError):
+        ds.with_labels(ds.frame(), ["lab"])
+    with pytest.raises(ValueError):
+        resolve_long_strings(ds.frame(strl="pointer"), ds.long_strings(), ["t"])
+
+
+def test_a_section_tag_is_found_however_far():
+    from marlstone.sources.header import find
+    from marlstone.sources.files import Bytes
+
+    assert find(Bytes(b"x" * 200_000 + b"<names>abc"), b"<names>", 3) == 200_000
+    assert find(Bytes(b"x" * 65_535 + b"<names>"), b"<names>", 0) == 65_535 and find(Bytes(b"xyz"), b"<names>", 0) == -1
