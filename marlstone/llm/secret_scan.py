@@ -1,14 +1,17 @@
 """Secret scans: pattern candidates, and a random forest that removes false positives.
 
-Candidates are unbroken runs of token characters of MIN_LENGTH on, and values of secret-like assignments.  A
+Candidates are (1) private-key blocks, (2) values of MIN_VALUE characters on that follow a secret-like name and a
+separator, whatever they are made of, and (3) other unbroken runs of token characters of MIN_LENGTH on.  A
 candidate's features are its length and character shares, entropy, the log-likelihood of its character-class
-transitions, the share of it that a dictionary of word pieces covers, known key shapes, and what the
-neighbouring words and the path (here the source) say.  A forest of randomised decision trees, grown on
-labelled findings, gives each candidate a probability; findings below one half are false positives.
-
-Tables without labelled findings get them from `labelled_findings`, a generator of keys, passwords and tokens
-of the usual issuers' shapes in context, and of what is mistaken for them: words, addresses, hashes in prose,
-version numbers, identifiers, paths.
+transitions, the share of its letters that words of the corpus cover, and what the neighbouring words and the path
+say.  A forest of randomised decision trees, grown on labelled findings, gives each candidate a probability;
+findings below one half are false positives.  Not found: shorter values, values behind other names than KEYWORDS
+that have white space or characters beyond RUN, and words of letters alone (lower-case or capitalised) without a
+secret-like name, which nothing tells from prose.
+
+Tables without labelled findings get them from `labelled_findings`, a generator of passwords, keys and tokens in
+context, and of what is mistaken for them: placeholders and words behind the same names, addresses, hashes in
+prose, versions, identifiers, paths.
 """
 
 from __future__ import annotations
@@ -20,22 +23,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_LENGTH = 12
+MIN_LENGTH, MIN_VALUE = 12, 6
 TREES, DEPTH, LEAST = 40, 10, 4
 #: Labelled findings that a forest is grown on, at most.
 LABELLED = 20_000
+#: Words of the corpus in the dictionary, the most frequent ones of MIN_WORD letters on.
+WORDS, MIN_WORD = 20_000, 4
 #: Characters around a candidate whose words are looked at.
 NEAR = 48
 
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=\-.@:$%~]{{{MIN_LENGTH},}}")
-ASSIGNED = re.compile(r"^[A-Za-z_.\-]{2,24}[=:]+")
-KEYWORDS = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth|credential|private)", re.I)
-#: Public shapes of issued keys (fixed values).
-SHAPES = re.compile(r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]*)$")
+RUN = re.compile(rf"[A-Za-z0-9+/_=\-.@:$%~]{{{MIN_LENGTH},}}")
+KEYWORDS = re.compile(r"passw(?:or)?d|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|auth(?!or)|credential|private[_ -]?key", re.I | re.A)
+#: One of these is in all that KEYWORDS match, in lower case.
+STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
+ASSIGNED = re.compile(rf"(?:{KEYWORDS.pattern})[A-Za-z0-9_\-]*[\"']?[ \t]*(?:=>|:=|=|:|[ \t]is[ \t])[ \t]*([\"'`]?)(\S{{{MIN_VALUE},}})", re.I | re.A)
+BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?")
 HEX = re.compile(r"^[0-9a-f]+$")
 ADDRESS = re.compile(r"^[^@\s]+@[^@\s]+\.[a-z]{2,}$|^https?:|^www\.", re.I)
-#: Frequent letter pieces of words (fixed values); what they cover of a candidate looks like language.
-PIECES = re.compile(r"the|and|ing|ion|ent|ver|ter|tion|ment|ness|able|er|en|in|an|on|re|es|st|ei|ch|ou|ai|ar|or|al|le|de|la|se|ti|te|at|it|is|un|eur|eau|que|ado|cion|heit|keit|lich|schaft|ung")
+#: Files that hold settings and keys.
+PATH = re.compile(r"[\w./\-]+\.(?:py|js|go|rb|java|env|ya?ml|json|cfg|ini|sh|toml|conf|properties|pem|key)\b", re.I)
 
 FINDINGS = "doc_id long, start long, stop long, candidate string, probability double"
 
@@ -45,48 +51,68 @@ def kinds(text: str) -> str:
     return "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "." for c in text)
 
 
-def split_candidate(run: str) -> tuple[str, int]:
-    """The value of a run (without an assigned name and closing punctuation) and where it begins."""
-    m = ASSIGNED.match(run)
-    start = m.end() if m and len(run) - m.end() >= 8 else 0
-    return run[start:].rstrip(".,:;-="), start
+NAMES = ("length", "lower", "upper", "digits", "other", "entropy", "distinct", "transitions", "switches", "covered", "longest_letters", "hex", "address", "keyword_before", "assigned", "block", "quoted", "same", "path", "words_before")
 
 
-NAMES = ("length", "lower", "upper", "digits", "other", "entropy", "distinct", "transitions", "switches", "covered", "longest_letters", "hex", "shape", "address", "keyword_before", "keyword_inside", "assigned", "quoted", "path_code", "words_before")
+def covered(value: str, words: frozenset) -> float:
+    """Share of the value that words of the dictionary cover, the longest first at each place."""
+    low, at, total = value.lower(), 0, 0
+    while at < len(low):
+        n = next((n for n in range(min(16, len(low) - at), MIN_WORD - 1, -1) if low[at : at + n] in words), 0)
+        total, at = total + n, at + max(n, 1)
+    return total / max(1, len(low))
 
 
-def features(value: str, name: str, before: str, after: str, path: str) -> list[float]:
+def features(value: str, name: str, before: str, after: str, path: str, words: frozenset) -> list[float]:
     from collections import Counter
     from math import log, log2
 
     n, ks = max(1, len(value)), kinds(value)
-    share = Counter(ks)
-    entropy = -sum(c / n * log2(c / n) for c in Counter(value).values())
+    share, letters = Counter(ks), Counter(value)
+    entropy = -sum(c / n * log2(c / n) for c in letters.values())
     pairs = Counter(zip(ks, ks[1:]))
     moves = sum(c for (a, b), c in pairs.items() if a != b)
     likely = sum(c * log(c / max(1, share[a])) for (a, _), c in pairs.items()) / n
-    covered = sum(len(m) for m in PIECES.findall(value.lower())) / n
-    letters = max((len(x) for x in re.findall(r"[A-Za-z]+", value)), default=0)
+    longest = max((len(x) for x in re.findall(r"[A-Za-z]+", value)), default=0)
     # Only the last words before count, so that a keyword far off says nothing.
     tail = " ".join(before.split()[-3:])
     return [
-        n, share["a"] / n, share["A"] / n, share["0"] / n, share["."] / n, entropy, len(set(value)) / n, likely, moves / n, covered, letters / n,
-        float(bool(HEX.match(value))), float(bool(SHAPES.match(value))), float(bool(ADDRESS.match(value))), float(bool(KEYWORDS.search(tail))), float(bool(KEYWORDS.search(name))), float(bool(name)),
-        float(before[-1:] in "\"'`" and before[-1:] == after[:1] and bool(after)), float(path.endswith((".py", ".env", ".yml", ".json", ".cfg", ".ini", ".sh"))), float(len(re.findall(r"[a-zA-Z]{2,}", before))),
+        n, share["a"] / n, share["A"] / n, share["0"] / n, share["."] / n, entropy, len(letters) / n, likely, moves / n, covered(value, words), longest / n,
+        float(bool(HEX.match(value))), float(bool(ADDRESS.match(value))), float(bool(KEYWORDS.search(tail))), float(name == "assigned"), float(name == "block"),
+        float(before[-1:] in ("\"", "'", "`") and before[-1:] == after[:1]), max(letters.values(), default=0) / n, float(bool(PATH.search(path) or PATH.search(before))), float(len(re.findall(r"[a-zA-Z]{2,}", before))),
     ]
 
 
 def candidates(text: str):
-    """(start, stop, value, name, before, after) of each candidate of the whole text."""
-    for m in CANDIDATE.finditer(text):
+    """(start, stop, value, kind, before, after) of each candidate of the whole text."""
+
+    def found(start: int, stop: int, kind: str):
+        return start, stop, text[start:stop], kind, text[max(0, start - NEAR) : start], text[stop : stop + NEAR]
+
+    taken = []
+    for m in BLOCK.finditer(text):
+        taken.append((*m.span(), "block"))
+    low = text.lower()
+    for m in ASSIGNED.finditer(text) if any(stem in low for stem in STEMS) else ():
+        value, quote = m.group(2), m.group(1)
+        end = value.find(quote) if quote else -1
+        value = value[:end] if end >= 0 else value.rstrip("\"'`.,;)]}>")
+        if len(value) >= MIN_VALUE and not any(a <= m.start(2) < b for a, b, _ in taken[-1:]):
+            taken.append((m.start(2), m.start(2) + len(value), "assigned"))
+    taken.sort()
+    at = 0
+    for m in RUN.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end():
+            continue  # part of an assigned value or a block
         run = m.group()
-        word = run.strip(".,:;-=_/+%$@~")
-        if word.isalpha() and not word.isupper():  # a word and no key
-            continue
-        value, at = split_candidate(run)
-        if len(value) >= 8:
-            start = m.start() + at
-            yield start, start + len(value), value, run[:at], text[max(0, m.start() - NEAR) : m.start()], text[m.end() : m.end() + NEAR]
+        value = run.strip(".,:;-=")
+        bare = value.strip("_/+%$@~")
+        if len(value) >= MIN_LENGTH and not (bare.isalpha() and not (bare.isupper() or bare[1:].lower() != bare[1:])):
+            yield found(m.start() + run.index(value), m.start() + run.index(value) + len(value), "run")
+    for start, stop, kind in taken:
+        yield found(start, stop, kind)
 
 
 class Forest:
@@ -146,60 +172,77 @@ class Forest:
         return total / len(self.trees)
 
 
-def labelled_findings(n: int = 4000, seed: int = 11) -> list[tuple]:
-    """(text, path, start of the candidate, label): keys in context, and what is mistaken for them."""
+def dictionary(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> frozenset:
+    """The `words` most frequent words of letters, MIN_WORD to 16 of them, over all documents."""
+    found = docs.select(F.explode(F.split(F.lower(text_col), "[^\\p{L}]+")).alias("w")).filter(F.length("w").between(MIN_WORD, 16))
+    return frozenset(r["w"] for r in found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect())
+
+
+def labelled_findings(n: int = 6000, seed: int = 11, words: frozenset = frozenset()) -> list[tuple]:
+    """(text, path, start of the candidate, label): secrets in context, and what is mistaken for them."""
     import random
     import string
 
     r = random.Random(seed)
     pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     upper, hexa, mixed = string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits
-    piece = ("the", "and", "ing", "ion", "er", "on", "he", "re", "in", "at", "en", "st", "ou", "le", "de", "ci", "ver", "ung", "ter", "al")
-    word = lambda k=3: "".join(r.choice(piece) for _ in range(r.randint(1, k)))
+    known = sorted(words) or ["river", "stone", "table", "green", "window", "number", "letter", "paper", "value", "about", "winter", "garden"]
+    word = lambda: r.choice(known)
+    joined = lambda low, high: "".join(word() for _ in range(r.randint(low, high)))
     prose = lambda: " ".join(word() for _ in range(r.randint(0, 9)))
-    issued = (
-        lambda: "AKIA" + pick(upper, 16), lambda: "ASIA" + pick(upper, 16), lambda: "ghp_" + pick(mixed, 36), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(mixed, 24),
-        lambda: "sk_live_" + pick(mixed, 24), lambda: "AIza" + pick(mixed + "_-", 35), lambda: f"eyJ{pick(mixed, 20)}.{pick(mixed, 40)}.{pick(mixed, 43)}",
+    keys = ("password", "passwd", "pwd", "token", "secret", "api_key", "access_key", "auth_token", "client_secret", "passphrase", "db_password", "credential", "PASSWORD", "Token")
+    between = ("=", ":", " = ", ": ", ' = "', '="', " = '", ": '", " is ")
+    made = (  # as people make passwords
+        lambda: joined(1, 2) + str(r.randint(1, 9999)), lambda: word().capitalize() + pick("!@#$%&*", r.randint(1, 2)) + pick(string.digits, r.randint(1, 4)), lambda: joined(1, 2).translate(str.maketrans("aeios", "43105")) + pick("!$#", r.randint(0, 2)),
+        lambda: pick(string.ascii_lowercase, r.randint(8, 20)), lambda: joined(2, 4), lambda: word()[:5] + str(r.randint(1, 99)) + pick(string.ascii_lowercase, 3), lambda: pick(mixed + "!@#$%^&*?+", r.randint(8, 24)), lambda: "".join(sorted(pick(string.ascii_lowercase, 16))),
     )
-    keys = ("password", "passwd", "pwd", "token", "secret", "api_key", "access_key", "auth_token", "client_secret")
+    drawn = (lambda: pick(hexa, r.choice((16, 18, 32, 40, 64))), lambda: pick(mixed, r.randint(12, 40)), lambda: pick(mixed + "+/", r.randint(20, 44)) + r.choice(("", "=", "==")), lambda: pick(upper, r.randint(16, 24)))
+    issued = (lambda: pick(string.ascii_lowercase, r.randint(2, 4)) + r.choice("_-") + pick(mixed, r.randint(20, 40)), lambda: pick(string.ascii_uppercase, 4) + pick(upper, 16), lambda: f"{pick(mixed, 20)}.{pick(mixed, 30)}.{pick(mixed + '_-', 40)}", lambda: f"{pick(string.ascii_lowercase, 4)}-{pick(string.digits, 12)}-{pick(mixed, 24)}")
+    empty = ("your_password_here", "changeme", "xxxxxxxx", "example", "<redacted>", "********", "required", "null,null", "undefined", "${PASSWORD}", "process.env.TOKEN", "os.environ['SECRET']", "...........", "{{ token }}", "string", "optional", "get_password()", "config.secret")
     wrong = (
         lambda: ("", f"{word()}.{word()}{r.randint(1, 99)}@{word()}{r.randint(1, 99)}.example.com"), lambda: ("", f"https://www.{word()}.org/{word()}/{r.randint(1, 9999)}"),
-        lambda: (r.choice(("commit ", "sha1 ", "checksum ", "md5 ", "")), pick(hexa, r.choice((32, 40, 64)))), lambda: ("", f"{word(5)}-{word(5)}-{word(4)}"),
-        lambda: ("", f"{r.randint(1900, 2100)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:00"), lambda: ("", f"/usr/{word(2)}/{word(3)}/{word(3)}.txt"),
-        lambda: ("", f"{word(3)}_{word(3)}_{r.randint(1, 99)}"), lambda: ("", f"+{pick(string.digits, 12)}"), lambda: (r.choice(keys) + "=", r.choice(("your_password_here", "changeme_changeme", "xxxxxxxxxxxxxxxx", "example_example", "<redacted>_value"))),
-        lambda: ("", f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"), lambda: ("", word(6) + "." + word(6)), lambda: ("", "-" * r.randint(12, 40)),
-        lambda: ("", f"version-{r.randint(1, 20)}.{r.randint(1, 20)}.{r.randint(1, 2000)}-build"), lambda: ("", word(6).upper() + word(5).upper()),
+        lambda: (r.choice(("commit ", "sha1 ", "checksum ", "md5 ", "")), pick(hexa, r.choice((32, 40, 64)))), lambda: ("", f"{word()}-{word()}-{word()}-{word()}"), lambda: ("", f"{word()}.{word()}.{word()}"),
+        lambda: ("", f"{r.randint(1900, 2100)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}:{r.randint(10, 59)}:00"), lambda: ("", f"/usr/{word()}/{word()}/{word()}.txt"), lambda: ("", f"{word()}_{word()}_{r.randint(1, 99)}"), lambda: ("", f"+{pick(string.digits, 12)}"),
+        lambda: ("", f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"), lambda: ("", "-" * r.randint(12, 40)), lambda: ("", f"version-{r.randint(1, 20)}.{r.randint(1, 20)}.{r.randint(1, 2000)}-build"), lambda: ("", joined(2, 4).upper()),
     )
     out = []
     for _ in range(n):
         path = r.choice(("src1", "docs/a.md", "web", "conf/app.env", "main.py", "pages", "notes"))
-        head, tail = prose(), prose()
-        if r.random() < 0.5:
-            way = r.random()
-            if way < 0.45:
-                lead, value = "", r.choice(issued)()
-            else:
-                lead = r.choice(keys) + r.choice(("=", ":", " = ", ": ", ' = "', '="'))
-                value = r.choice((lambda: pick(hexa, r.choice((16, 18, 32, 40))), lambda: pick(mixed, r.randint(12, 40)), lambda: pick(mixed + "+/", r.randint(20, 44)), r.choice(issued)))()
-            label = 1
+        head, tail, way, lead = prose(), prose(), r.random(), r.choice(keys) + r.choice(between)
+        if way < 0.38:
+            value, label = r.choice(made if r.random() < 0.5 else drawn + issued)(), 1
+        elif way < 0.48:
+            lead, value, label = "", r.choice(issued)(), 1
+        elif way < 0.52:
+            lead, value, label = "", f"-----BEGIN {r.choice(('RSA ', 'EC ', 'OPENSSH ', ''))}PRIVATE KEY-----", 1
+        elif way < 0.72:
+            value, label = (r.choice(empty) if r.random() < 0.7 else word()), 0
         else:
             (lead, value), label = r.choice(wrong)(), 0
         text = f"{head} {lead}" if head else lead
-        out.append((text + value + ('"' if lead.endswith('"') else "") + " " + tail, path, len(text), label))
+        close = lead[-1:] if lead[-1:] in "\"'" else ""
+        out.append((text + value + close + " " + tail, path, len(text), label))
     return out
 
 
-def train(findings: list[tuple]) -> Forest:
-    """A forest grown on findings (text, path, start of the candidate, label), at most LABELLED of them."""
+def train(findings: list[tuple], words: frozenset = frozenset(), *, labelled: int = LABELLED) -> Forest:
+    """A forest grown on findings (text, path, start of the candidate, label): of more than `labelled` those with the
+    smallest hashes.  Findings that are no candidate can't be learned from."""
+    import zlib
+
     import numpy as np
 
+    if len(findings) > labelled:
+        findings = sorted(findings, key=lambda f: (zlib.crc32(f"{f[0]}|{f[1]}|{f[2]}".encode()), f[0], f[2]))[:labelled]
     x, y = [], []
-    for text, path, at, label in findings[:LABELLED]:
-        for start, stop, value, name, before, after in candidates(text):
+    for text, path, at, label in findings:
+        for start, stop, value, kind, before, after in candidates(text):
             if start <= at < stop:
-                x.append(features(value, name, before, after, path))
+                x.append(features(value, kind, before, after, path, words))
                 y.append(label)
-    return Forest().fit(np.array(x), np.array(y, float))
+    forest = Forest().fit(np.array(x), np.array(y, float))
+    forest.words = words
+    return forest
 
 
 def _scan(shared, least: float):
@@ -219,9 +262,9 @@ def _scan(shared, least: float):
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()])], [n.split()[0] for n in FINDINGS.split(", ")])
 
             for doc, path, text in zip(ids, paths, batch.column("text")):
-                for start, stop, value, name, before, after in candidates(text.as_py() or ""):
+                for start, stop, value, kind, before, after in candidates(text.as_py() or ""):
                     rows.append((doc, start, stop, value))
-                    x.append(features(value, name, before, after, path or ""))
+                    x.append(features(value, kind, before, after, path or "", forest.words))
                 if len(rows) >= 20_000:
                     yield found()
                     rows, x = [], []
@@ -245,4 +288,5 @@ def scan(docs: DataFrame, forest: Forest, *, least: float = 0.5, id_col: str = "
 
 def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan(docs, train(labelled_findings()))
+    words = dictionary(docs)
+    return scan(docs, train(labelled_findings(words=words), words))
