@@ -1,12 +1,12 @@
 """Harmonic packing of token sequences.
 
-Lengths belong to reciprocal-capacity classes: class k holds pieces of about capacity/k tokens, and a
-sequence of class k holds exactly k of them.  Each worker fills the sequences of its own classes and shares
-nothing with other workers, so there is no shuffle.  Documents may be cut, and a piece is cut to the slot of
-its class unless it fills all but `slack` of it, which keeps the padding of a sequence below that share.
-Pieces too small for class CLASSES fill sequences by length.  At its end a worker lays the pieces of its
-unfinished sequences (fewer than k for each class) end to end, and cuts what doesn't fill a whole sequence
-into sequences of powers of two, which need no padding.
+A document of length n up to the capacity belongs to the reciprocal-capacity class k with n in (capacity/(k+1),
+capacity/k], and a sequence of class k holds exactly k documents of it, whole.  Each worker fills the sequences of its
+own classes and shares nothing with other workers, so there is no shuffle.  The room that a sequence then has
+left, up to 1/(k+1) of it, is closed by pieces of other documents: the ends of documents longer than the capacity,
+documents smaller than class CLASSES, and, as soon as the open room would hold it, the next document.  Only these
+are cut.  Room below half of `slack` stays as padding.  At its end a worker lays the pieces of its unfinished sequences end
+to end, and cuts what doesn't fill a whole sequence into sequences of powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -95,15 +95,11 @@ class Harmonic:
         from zlib import crc32
 
         self.capacity, self.classes, self.crc = capacity, min(classes, capacity), crc32
-        self.slots = [0] + [capacity // k for k in range(1, self.classes + 1)]
-        self.least = [0] + [int(-(-s * (1 - slack) // 1)) for s in self.slots[1:]]
-        # For each remaining length, the class it is put in and how much of it: the rest is cut off.
-        self.plan: list[tuple[int, int]] = [(0, 0)]
-        for r in range(1, capacity + 1):
-            k = next((k for k in range(1, self.classes + 1) if self.least[k] <= r), 0)
-            self.plan.append((k, min(r, self.slots[k])) if k else (0, r))
-        self.open: list[list] = [[] for _ in range(self.classes + 1)]
-        self.small, self.made = 0, 0
+        self.least = max(1, int(capacity * slack / 2))
+        self.held: list[list] = [[] for _ in range(self.classes + 1)]
+        # Sequences with room, as (-room, order, pieces), and all their room.
+        self.open: list[tuple] = []
+        self.room, self.order, self.made = 0, 0, 0
 
     def _close(self, pieces: list) -> list:
         out, at, total = [], 0, sum(p[2] for p in pieces)
@@ -116,41 +112,53 @@ class Harmonic:
     def add(self, doc, ids) -> list:
         """ids: '<u4' array of a whole document."""
         out, n, at, cap = [], len(ids), 0, self.capacity
-        while at < n:
-            k, take = self.plan[min(n - at, cap)]
-            piece = (doc, at, take, ids[at : at + take].tobytes(), n)
-            at += take
-            if k:
-                held = self.open[k]
-                held.append(piece)
-                if len(held) == k:
-                    out += self._close(held)
-                    self.open[k] = []
-            else:
-                out += self._fill(piece)
+        while n - at >= cap:
+            out += self._close([(doc, at, cap, ids[at : at + cap].tobytes(), n)])
+            at += cap
+        if at == n:
+            return out
+        piece = (doc, at, n - at, ids[at:].tobytes(), n)
+        k = cap // piece[2]
+        if at or k > self.classes or self.room >= piece[2]:
+            return out + self._fill(piece)
+        self.held[k].append(piece)
+        if len(self.held[k]) == k:
+            pieces, self.held[k] = self.held[k], []
+            out += self._offer(cap - sum(p[2] for p in pieces), pieces)
         return out
 
+    def _offer(self, room: int, pieces: list) -> list:
+        """Closes a sequence without notable room, and keeps any other for pieces to come."""
+        from heapq import heappush
+
+        if room < self.least:
+            return self._close(pieces)
+        heappush(self.open, (-room, self.order, pieces))
+        self.room, self.order = self.room + room, self.order + 1
+        return []
+
     def _fill(self, piece) -> list:
-        """Fills the open sequence of the small pieces; a piece that doesn't fit is cut."""
+        """Puts a piece into the largest room, its rest into the next largest, or into a sequence of its own."""
+        from heapq import heappop
+
         doc, start, length, ids, tokens = piece
         out = []
-        while length >= (room := self.capacity - self.small):
-            self.open[0].append((doc, start, room, ids[: 4 * room], tokens))
-            out += self._close(self.open[0])
-            self.open[0], self.small = [], 0
-            start, length, ids = start + room, length - room, ids[4 * room :]
-        if length:
-            self.open[0].append((doc, start, length, ids, tokens))
-            self.small += length
+        while length:
+            room, pieces = self.capacity, []
+            if self.open:
+                room, _, pieces = heappop(self.open)
+                room = -room
+                self.room -= room
+            fit = min(length, room)
+            pieces.append((doc, start, fit, ids[: 4 * fit], tokens))
+            start, length, ids = start + fit, length - fit, ids[4 * fit :]
+            out += self._offer(room - fit, pieces)
         return out
 
     def finish(self) -> list:
         out = []
-        for held in self.open[1:]:
-            for piece in held:
-                out += self._fill(piece)
-        self.open = [self.open[0]] + [[] for _ in range(self.classes)]
-        left, self.open[0] = self.open[0], []
+        left = [p for _, _, pieces in sorted(self.open, key=lambda x: x[1]) for p in pieces] + [p for held in self.held for p in held]
+        self.open, self.held, self.room = [], [[] for _ in range(self.classes + 1)], 0
         size = self.capacity
         while left:
             total = sum(p[2] for p in left)
@@ -166,7 +174,6 @@ class Harmonic:
                 room -= fit
             out += self._close(part)
             left = rest
-        self.small = 0
         return out
 
 
