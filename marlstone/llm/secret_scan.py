@@ -173,9 +173,17 @@ class Forest:
 
 
 def dictionary(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -> frozenset:
-    """The `words` most frequent words of letters, MIN_WORD to 16 of them, over all documents."""
+    """The most frequent words of letters, MIN_WORD to 16 of them, over all documents: those above the lowest frequency
+    (in steps of an eighth of an octave) that at most `words` words reach.  The driver gets these alone."""
     found = docs.select(F.explode(F.split(F.lower(text_col), "[^\\p{L}]+")).alias("w")).filter(F.length("w").between(MIN_WORD, 16))
-    return frozenset(r["w"] for r in found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect())
+    level = F.floor(8 * F.log2("count")).cast("int")
+    counts = common.materialize(found.groupBy("w").count().select("w", level.alias("level")), "op9-words")
+    least, total = None, 0
+    for r in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundred levels
+        if (total := total + r["count"]) > words:
+            break
+        least = r["level"]
+    return frozenset() if least is None else frozenset(r["w"] for r in counts.filter(F.col("level") >= least).collect())
 
 
 def labelled_findings(n: int = 6000, seed: int = 11, words: frozenset = frozenset()) -> list[tuple]:

@@ -233,7 +233,8 @@ def test_candidates_by_hand():
 
 def test_dictionary_counts_all_words(spark):
     df = spark.createDataFrame([(1, "alpha beta beta"), (2, "beta gamma-gamma ab Alpha"), (3, None)], "doc_id long, text string")
-    assert secret_scan.dictionary(df, words=2) == {"beta", "alpha"} and secret_scan.covered("xalphabetax", frozenset({"alpha", "beta"})) == 9 / 11
+    assert secret_scan.dictionary(df, words=2) == {"beta"} and secret_scan.dictionary(df, words=3) == {"alpha", "beta", "gamma"} and secret_scan.dictionary(df, words=0) == frozenset()
+    assert secret_scan.covered("xalphabetax", frozenset({"alpha", "beta"})) == 9 / 11
 
 
 def test_letters_beyond_the_symbols_are_kept():
