@@ -38,6 +38,15 @@ def test_stages(stages, odd):
     assert abs(words(mixed) - 1.5 * words(near)) < 0.1 * words(near)
 
 
+def test_stages_over_an_empty_table(spark, none):
+    docs = none
+    for name, stage in pipeline.STAGES:
+        before = docs.columns
+        docs = common.materialize(stage(spark, docs, ""), name)
+        assert docs.count() == 0
+        assert name == "packing" or docs.columns == before
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_run_over_a_table(spark):
     assert pipeline.run(spark, SF).count() > 100
