@@ -243,12 +243,17 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (null last; then by a hash of the text)."""
+    """docs with one row of each component: that of the smallest id (null last; then by a hash of the text).
+
+    Null and wordless texts have fingerprint zero and are linked like any other; of repeated rows one stays; an empty
+    table gives no row; all columns stay."""
     return keep_first(docs, near_duplicates(docs, radius=radius, id_col=id_col, text_col=text_col), id_col=id_col, text_col=text_col)
 
 
 def keep_first(docs: DataFrame, near: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each root of near (doc_id, text_hash, root; a row per row of docs)."""
+    """docs with one row of each root of near (doc_id, text_hash, root; a row per row of docs).
+
+    The row of the smallest id stays (null last; then by text_hash); of rows that share id and text any one."""
     near = common.materialize(near.select("doc_id", "text_hash", "root"), "op8-near")
     who = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     groups = near.groupBy("root").agg(F.min(who).alias("stays"), F.count(F.lit(1)).alias("members")).filter("members > 1")
