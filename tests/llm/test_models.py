@@ -122,6 +122,75 @@ def test_marginals_equal_enumeration():
     assert np.allclose(toxicity.chain_products(m, np.ones(2) / 2), want)
 
 
+def test_likelihood_of_hidden_tags_equals_enumeration():
+    """The value by all tag sequences that agree with the known tags, and the gradient by differences."""
+    r = np.random.default_rng(5)
+    docs, size = np.repeat([0, 1, 2, 3], [4, 5, 3, 2]), 3
+    tokens = r.integers(0, size + 1, (len(docs), 2))
+    labels = np.array([1, 1, 0, 1])
+    tags = np.where(labels[docs] == 1, toxicity.HIDDEN, toxicity.CLEAN)
+    tags[5], tags[7], tags[12:] = toxicity.TOXIC, toxicity.CLEAN, toxicity.CLEAN  # the last document has nothing toxic: its label is noise
+    lattice = toxicity.Lattice(tokens, docs, size)
+
+    def value(w):
+        pull, trans, total = np.append(w[:size], 0.0)[tokens].sum(axis=1) + w[size], w[size + 1 :].reshape(2, 2), 0.0
+        for d, label in enumerate(labels):
+            at = np.flatnonzero(docs == d)
+            z, good = 0.0, 0.0
+            for bits in range(1 << len(at)):
+                seq = [bits >> i & 1 for i in range(len(at))]
+                p = math.exp(sum(pull[a] * t for a, t in zip(at, seq)) + sum(trans[x, y] for x, y in zip(seq, seq[1:])))
+                z += p
+                if all(tags[a] in (t, toxicity.HIDDEN) for a, t in zip(at, seq)):
+                    good += p * (toxicity.NOISE if label == 1 and not any(seq) else 1.0)
+            total += math.log(good / z)
+        return total
+
+    for _ in range(3):
+        w = r.normal(size=size + 5)
+        got, grad = lattice.gradient(w, tags, labels)
+        assert math.isclose(got, value(w), rel_tol=1e-9)
+        steps = np.eye(len(w)) * 1e-5
+        assert np.allclose(grad, [(value(w + s) - value(w - s)) / 2e-5 for s in steps], atol=1e-6)
+
+
+def test_hidden_tags_gain_over_the_word_list(spark):
+    """Where a third of the toxic documents is labelled clean, no word is contrastive enough for the list; hidden tags find them."""
+    r, docs, labels, truth = random.Random(21), [], [], {}
+    for i in range(700):
+        ws, truth[i] = sentence(r, "xa", r.randint(10, 60)).split(" "), int(r.random() < 0.4)
+        for _ in range(2 * truth[i]):
+            ws.insert(r.randrange(len(ws)), r.choice(BAD))
+        docs.append((i, " ".join(ws)))
+        labels.append((i, 1, truth[i] if r.random() < 0.67 else 0))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    text = {x["doc_id"]: x["text"] for x in docs.collect()}
+    caught = []
+    for rounds in (0, toxicity.HIDDEN_ROUNDS):
+        got = toxicity.tag(docs, toxicity.fit(docs, labels, hidden_rounds=rounds)).collect()
+        marks = [(x["score"], truth[x["doc_id"]]) for x in got if fold(x["doc_id"], 5) == 0]
+        caught.append(np.mean([a > b for a, t in marks if t for b, u in marks if not u]))
+        words = [text[x["doc_id"]].encode()[a:b].decode() for x in got for a, b in zip(x["span_starts"], x["span_ends"])]
+    assert caught[0] < 0.9 < 0.97 < caught[1], caught
+    assert words and np.mean([any(b in w for b in BAD) for w in words]) > 0.9
+
+
+def test_near_copies_alone_leave_the_training():
+    r = np.random.default_rng(3)
+    words = r.integers(1, 1 << 60, 400).astype(np.uint64)
+    near, half = words.copy(), words.copy()
+    near[::100] += np.uint64(1)
+    half[200:] += np.uint64(1)
+    assert toxicity.distinct_documents([words, near, half, words[:2], words[:2], words]) == [0, 2, 3]
+
+
+def test_toxic_holds_where_labels_disagree(abuse):
+    docs, labels = abuse
+    more = labels.unionByName(labels.withColumn("toxic", common.F.lit(0)))
+    a, b = (sorted(toxicity.tag(docs, toxicity.fit(docs, x)).select("doc_id", "score").collect()) for x in (labels, more))
+    assert a == b
+
+
 def test_toxicity_of_odd_documents(odd, none, abuse):
     field = toxicity.fit(*abuse)
     got = toxicity.tag(odd, field).collect()
