@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -69,36 +70,69 @@ def shuffles_dropped(spark: SparkSession):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Folders that go at the end of the blocks of `scratch` around, the innermost last.
+_folders: contextvars.ContextVar[tuple[list, ...]] = contextvars.ContextVar("folders", default=())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What `materialize` writes inside is removed at the end; what `result` writes stays, or goes with the block around."""
+    folders: list[str] = []
+    token = _folders.set((*_folders.get(), folders))
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        for path in folders:
+            _remove(spark, path)
+
+
+def result(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table that outlives the innermost block of `scratch`."""
+    around = _folders.get()
+    token = _folders.set(around[:-1])
+    try:
+        return materialize(df, name)
+    finally:
+        _folders.reset(token)
+
+
 def materialize(df: DataFrame, name: str, *, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared scratch folder and reads it back: lineage ends here, so a lost
     executor costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for folders in _folders.get()[-1:]:
+        folders.append(path)
     with shuffles_dropped(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def bucketed(df: DataFrame, name: str, key: str, n: int):
-    """df as a table of the shared scratch folder in n buckets by key, each sorted by it, so that joins and groups
-    by it need neither a shuffle nor, where a bucket is one file, a sort; it is gone with the block."""
+def bucketed(df: DataFrame, name: str, key: str, n: int, *, ordered: bool = True):
+    """df as a table of the shared scratch folder in n buckets by key, each sorted by it if `ordered`, so that joins and
+    groups by it need neither a shuffle nor, where a bucket is one file, a sort; it is gone with the block."""
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{name}"
     with shuffles_dropped(spark):
-        df.write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "snappy").saveAsTable(name)
+        writer = df.write.bucketBy(n, key).option("path", path)
+        (writer.sortBy(key).option("compression", "snappy") if ordered else writer.option("compression", "zstd")).saveAsTable(name)
     ordering = "spark.sql.legacy.bucketedTableScan.outputOrdering"
     before = spark.conf.get(ordering)
-    spark.conf.set(ordering, "true")
+    spark.conf.set(ordering, str(ordered).lower())
     try:
         yield spark.table(name)
     finally:
         spark.conf.set(ordering, before)
         spark.sql(f"DROP TABLE {name}")
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        _remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

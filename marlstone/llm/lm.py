@@ -12,13 +12,14 @@ Words and pairs of words are counted by their 64-bit hashes over all training do
    fixed, gives each bucket's mixture weights.  A second pass scores every document.
 
 What is gathered grows with the corpus and stays distributed; a task holds one chunk or one owner's range.
-The driver gets the histogram (at most 26 * 98 * 130 cells), N and V.
+The driver gets the histogram, N and V.  A bucket b holds contexts of more than 2^(b - 1) and at most 2^b occurrences, so its bigram
+estimates fall into 4 * b + 2 cells at most; with unigram estimates down to 1/N the histogram has under 8 * b * b * log2 N cells
+for b = log2 N, some 800,000 at N = 2^46 (most of them empty).  Estimates are rounded to a quarter octave there, so each is off by a factor
+of 2^(1/8) at most, and no estimate is clipped; scores use exact counts.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +29,10 @@ FOLDS = 10
 #: The fold of the training documents whose counts are deleted to learn the weights.
 HELD_FOLD = 1
 CHUNK_BYTES = 12_000_000
-BUCKETS = 26
-#: Steps per octave of the quantised estimates, and octaves.
-STEPS, OCTAVES2, OCTAVES1 = 4, 24, 32
+#: Buckets of context counts by octaves: as many as a 64-bit count has.
+BUCKETS = 64
+#: Steps per octave of the quantised estimates; 64 octaves reach any estimate of 64-bit counts.
+STEPS = 4
 EM_ROUNDS = 100
 #: The hash of the end token (fixed value); it is also the context of a document's first token.
 END = 0xE0D0E0D0E0D0E0D1
@@ -229,13 +231,13 @@ def bucket(context_counts):
     return np.minimum(np.ceil(np.log2(context_counts + 1.0)).astype(np.int64), BUCKETS - 1)
 
 
-def _cell(p, octaves: int):
-    """Quantised -log2 of an estimate; 0 stands for an estimate of zero."""
+def _cell(p):
+    """Quantised -log2 of an estimate, under 512; 0 stands for an estimate of zero."""
     import numpy as np
 
     out = np.zeros(len(p), np.int64)
     some = p > 0
-    out[some] = 1 + np.minimum(np.rint(-np.log2(p[some]) * STEPS), octaves * STEPS).astype(np.int64)
+    out[some] = 1 + np.rint(-np.log2(p[some]) * STEPS).astype(np.int64)
     return out
 
 
@@ -252,9 +254,9 @@ def _events(owners: int, n: int):
         use = fold == HELD_FOLD
         word, context, pair = at[use], before[use], np.searchsorted(keys, pairs[use])
         c, c1, c2 = (words[0] - words[1])[context], (words[0] - words[1])[word], (both[0] - both[1])[pair]
-        cells = (bucket(c) * 128 + _cell(c2 / np.maximum(c, 1), OCTAVES2)) * 256 + _cell(c1 / max(n, 1), OCTAVES1)
+        cells = (bucket(c) << 18) + (_cell(c2 / np.maximum(c, 1)) << 9) + _cell(c1 / max(n, 1))
         cells, times = np.unique(cells, return_counts=True)
-        return pa.table([pa.array((cells >> 15).astype(np.int32)), pa.array((cells >> 8 & 127).astype(np.int32)), pa.array((cells & 255).astype(np.int32)), pa.array(times)], names=["b", "e2", "e1", "n"])
+        return pa.table([pa.array((cells >> 18).astype(np.int32)), pa.array((cells >> 9 & 511).astype(np.int32)), pa.array((cells & 511).astype(np.int32)), pa.array(times)], names=["b", "e2", "e1", "n"])
 
     return run
 
@@ -312,26 +314,24 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ch
     Fold 0 isn't learned from.  A null text counts as empty: its only token is the end.  Rows with a null id are in fold 0;
     repeated rows count as often as they occur and get equal scores; an empty table gives no row; if there is
     nothing to learn from, N and V are 0 and the scores follow from that.  Other columns are ignored.  A chunk
-    holds one text at least, so memory grows with the longest text, not with the corpus.
+    holds one text at least, so memory grows with the longest text, not with the corpus.  The result is a written
+    table; chunks and answers are gone from the scratch folder when it is there.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("fold", common.crc_fold(F.col("doc_id"), FOLDS).cast("int"))
     common.bounded_batches(docs.sparkSession)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     owners = max(common.shuffle_partitions(spark), -(-size // chunk_bytes))
-    name = f"op6_chunks_{uuid.uuid4().hex}"
-    path = f"{common.scratch_dir(spark)}/{name}"
-    rows.mapInArrow(_chunks(chunk_bytes), _CHUNK).write.bucketBy(owners, "chunk").option("path", path).option("compression", "zstd").saveAsTable(name)
-    chunks = spark.table(name)
-    asked = chunks.mapInArrow(_requests(owners), _ASK)
-    answers = common.materialize(asked.groupBy("owner").applyInArrow(_answers(owners), _ANSWER), "op6-answers")
-    totals = answers.filter("chunk = -1").agg(F.sum("total"), F.sum("held_total"), F.sum("types")).first()
-    n, held, v = (x or 0 for x in totals)
-    replies = answers.filter("chunk >= 0").select("chunk", "owner", "kind", "counts", "held")
-    meet = lambda f, schema: chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(f, schema)
-    events = meet(_events(owners, n - held), "b int, e2 int, e1 int, n long").groupBy("b", "e2", "e1").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights([tuple(r) for r in events], v)
-    return meet(_scores(owners, n, v, weights), SCORED)
+    with common.scratch(spark), common.bucketed(rows.mapInArrow(_chunks(chunk_bytes), _CHUNK), "op6_chunks", "chunk", owners, ordered=False) as chunks:
+        asked = chunks.mapInArrow(_requests(owners), _ASK)
+        answers = common.materialize(asked.groupBy("owner").applyInArrow(_answers(owners), _ANSWER), "op6-answers")
+        totals = answers.filter("chunk = -1").agg(F.sum("total"), F.sum("held_total"), F.sum("types")).first()
+        n, held, v = (x or 0 for x in totals)
+        replies = answers.filter("chunk >= 0").select("chunk", "owner", "kind", "counts", "held")
+        meet = lambda f, schema: chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(f, schema)
+        events = meet(_events(owners, n - held), "b int, e2 int, e1 int, n long").groupBy("b", "e2", "e1").agg(F.sum("n").alias("n")).collect()
+        weights = learn_weights([tuple(r) for r in events], v)
+        return common.result(meet(_scores(owners, n, v, weights), SCORED), "op6-scores")
 
 
 def op6_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -239,6 +239,59 @@ def test_lm_mixture_is_a_distribution(spoken):
     assert held["sum(score)"] > held["sum(base_score)"]
 
 
+def brute_mixture(docs):
+    """Scores of deleted interpolation with estimates that aren't rounded, pair by pair."""
+    tokens = {i: [*t.encode().lower().split(), None] for i, t in docs}
+    words, pairs, held_words, held_pairs, events = Counter(), Counter(), Counter(), Counter(), {}
+    for i, ws in tokens.items():
+        for a, b in zip([None, *ws], ws):
+            if fold(i, 10):
+                words[b] += 1
+                pairs[a, b] += 1
+                if fold(i, 10) == lm.HELD_FOLD:
+                    held_words[b] += 1
+                    held_pairs[a, b] += 1
+    n, v = sum(words.values()), len(words)
+    rest = n - sum(held_words.values())
+    for (a, b), times in held_pairs.items():
+        c = words[a] - held_words[a]
+        p = ((pairs[a, b] - held_pairs[a, b]) / max(c, 1), (words[b] - held_words[b]) / rest, 1 / (v + 1))
+        events.setdefault(int(lm.bucket(np.array([c]))[0]), []).append((p, times))
+    weights, last = {}, np.array([0.4, 0.5, 0.1])
+    for b in range(lm.BUCKETS):
+        if b in events:
+            w, p, times = np.maximum(last, 0.01) / np.maximum(last, 0.01).sum(), np.array([e[0] for e in events[b]]), np.array([e[1] for e in events[b]])
+            for _ in range(lm.EM_ROUNDS):
+                share = p * w
+                w = (share / share.sum(axis=1, keepdims=True) * times[:, None]).sum(axis=0) / times.sum()
+            last = np.maximum(w, 1e-6) / np.maximum(w, 1e-6).sum()
+        weights[b] = last
+    weights[0] = np.array([0.0, *weights[0][1:]]) / weights[0][1:].sum()
+    return {i: sum(math.log10(weights[int(lm.bucket(np.array([words[a]]))[0])] @ (pairs[a, b] / max(words[a], 1), words[b] / n, 1 / (v + 1))) for a, b in zip([None, *ws], ws)) for i, ws in tokens.items()}
+
+
+def test_lm_scores_equal_brute_force_but_for_rounding(spoken):
+    want = brute_mixture([(r["doc_id"], r["text"]) for r in spoken.collect()])
+    got = {r["doc_id"]: r["score"] for r in lm.score(spoken, chunk_bytes=9000).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] / want[i] - 1) for i in want) < 0.01
+
+
+def test_estimates_of_any_size_have_cells_of_their_own():
+    p = np.array([0.0, 1.0, 2.0**-24, 2.0**-25, 2.0**-32, 2.0**-40, 2.0**-63])
+    assert lm._cell(p).tolist() == [0, 1, 97, 101, 129, 161, 253]
+    assert lm.bucket(np.array([0, 1, 2, 1 << 25, 1 << 26, 1 << 40, (1 << 62) - 1])).tolist() == [0, 1, 2, 26, 27, 41, 62]
+
+
+def test_lm_leaves_its_result_alone_in_the_scratch_folder(spoken):
+    import os
+
+    folder = common.scratch_dir(spoken.sparkSession)
+    before = set(os.listdir(folder))
+    scores = lm.score(spoken)
+    assert {n.split("-")[1] for n in set(os.listdir(folder)) - before} == {"scores"} and scores.count() == spoken.count()
+    assert not [t for t in spoken.sparkSession.catalog.listTables() if t.name.startswith("op6_chunks")]
+
+
 def test_lm_of_nothing(none, spark):
     assert lm.score(none).count() == 0
     got = lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
