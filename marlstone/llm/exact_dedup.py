@@ -144,6 +144,7 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     id exactly one stays, so repeated rows collapse.  keep_id is null only if all ids of the class are.  An
     empty table gives an empty result.  Other columns of docs, whatever their names, are ignored.
     bits: of the fingerprint; fewer make false suspects, which the byte check tells apart.
+    The result is a written table; the working tables are gone when it is there.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -151,44 +152,45 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     common.bounded_batches(docs.sparkSession)
     n_docs = docs.count()
     owners = max(common.shuffle_partitions(spark), -(-n_docs // OWNER_ROWS))
-    blocks = common.materialize(rows.mapInArrow(_sender(owners, bits), _BLOCKS), "op1-blocks")
-    bitmaps = (
-        blocks.select("block", "owner", "n", "k", "unary", "rest", "repeated")
-        .groupBy("owner")
-        .applyInArrow(_owner(owners), "block long, owner int, bitmap binary")
-    )
-    sides = blocks.select("block", "owner", "n", "ids", "nulls", "hashes", "shas", "places").join(bitmaps, ["block", "owner"])
-    rows = common.materialize(
-        sides.mapInArrow(_take, "doc_id long, block long, owner int, place int, h long, sha binary, suspect boolean"), "op1-rows"
-    )
-    suspects = rows.filter("suspect")
-    keys = common.materialize(suspects.select("h").distinct(), "op1-keys")
-    cut = F.lit(64 - bits)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn(
-        "h", F.shiftleft(F.shiftrightunsigned(F.xxhash64("t"), 64 - bits), 64 - bits) if bits < 64 else F.xxhash64("t")
-    )
-    verified = (
-        common.keys_semi(texts, keys, "h", keys.count())
-        .groupBy("h", "t")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
-        .select(F.unhex(F.sha2("t", 256)).alias("sha"), "group_size", "keep_id")
-        .groupBy("sha")
-        .agg(F.max("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("texts"))
-        # Two texts of one SHA-256 have never been seen; should it happen, stop and do not merge them.
-        .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("long")))
-        .drop("texts")
-    )
-    stays = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "block", "owner", "place")).alias("stay"))
-    classes = common.materialize(verified.join(stays, "sha"), "op1-classes")
-    alone = rows.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    grouped = common.attach(suspects, classes, ["sha"], "group_size", n_docs).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.struct("doc_id", "block", "owner", "place").eqNullSafe(F.col("stay")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
-    )
-    return alone.unionByName(grouped)
+    with common.scratch(spark):
+        blocks = common.materialize(rows.mapInArrow(_sender(owners, bits), _BLOCKS), "op1-blocks")
+        bitmaps = (
+            blocks.select("block", "owner", "n", "k", "unary", "rest", "repeated")
+            .groupBy("owner")
+            .applyInArrow(_owner(owners), "block long, owner int, bitmap binary")
+        )
+        sides = blocks.select("block", "owner", "n", "ids", "nulls", "hashes", "shas", "places").join(bitmaps, ["block", "owner"])
+        rows = common.materialize(
+            sides.mapInArrow(_take, "doc_id long, block long, owner int, place int, h long, sha binary, suspect boolean"), "op1-rows"
+        )
+        suspects = rows.filter("suspect")
+        keys = common.materialize(suspects.select("h").distinct(), "op1-keys")
+        cut = F.lit(64 - bits)
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t")).withColumn(
+            "h", F.shiftleft(F.shiftrightunsigned(F.xxhash64("t"), 64 - bits), 64 - bits) if bits < 64 else F.xxhash64("t")
+        )
+        verified = (
+            common.keys_semi(texts, keys, "h", keys.count())
+            .groupBy("h", "t")
+            .agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
+            .select(F.unhex(F.sha2("t", 256)).alias("sha"), "group_size", "keep_id")
+            .groupBy("sha")
+            .agg(F.max("group_size").alias("group_size"), F.max("keep_id").alias("keep_id"), F.count(F.lit(1)).alias("texts"))
+            # Two texts of one SHA-256 have never been seen; should it happen, stop and do not merge them.
+            .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("long")))
+            .drop("texts")
+        )
+        stays = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "block", "owner", "place")).alias("stay"))
+        classes = common.materialize(verified.join(stays, "sha"), "op1-classes")
+        alone = rows.filter("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        grouped = common.attach(suspects, classes, ["sha"], "group_size", n_docs).select(
+            "doc_id",
+            "keep_id",
+            "group_size",
+            F.struct("doc_id", "block", "owner", "place").eqNullSafe(F.col("stay")).alias("kept"),
+            F.lower(F.hex("sha")).alias("text_sha256"),
+        )
+        return common.result(alone.unionByName(grouped), "op1-rows")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
