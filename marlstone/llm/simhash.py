@@ -227,19 +227,20 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc
     A null or wordless text has fingerprint zero and is linked like any other; texts of fewer words than a
     shingle are one shingle; repeated rows share their component; component_id is the smallest id that can be
     reached (null ids are passed over, and null comes out only where a component has no other); an empty table
-    gives no row; other columns are ignored.
+    gives no row; other columns are ignored.  The result is a written table; the working tables are gone when it is there.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     common.bounded_batches(docs.sparkSession)
-    prints = common.materialize(rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"), "op8-prints")
-    codes = common.materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "op8-codes")
-    roots = common.materialize(components(links(codes.select("fp"), radius=radius)), "op8-roots")
-    joined = codes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "n", "least", "root")
-    whole = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    linked = common.attach(joined, whole, ["root"], "members", max(1, roots.count())).select("fp", "n", "root", "component_id")
-    alone = codes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
-    classes = common.materialize(linked.unionByName(alone), "op8-classes")
-    return common.attach(prints, classes, ["fp"], "n", max(1, prints.count())).select("doc_id", "text_hash", "fp", "root", "component_id")
+    with common.scratch(docs.sparkSession):
+        prints = common.materialize(rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long"), "op8-prints")
+        codes = common.materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")), "op8-codes")
+        roots = common.materialize(components(links(codes.select("fp"), radius=radius)), "op8-roots")
+        joined = codes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "n", "least", "root")
+        whole = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+        linked = common.attach(joined, whole, ["root"], "members", max(1, roots.count())).select("fp", "n", "root", "component_id")
+        alone = codes.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+        classes = common.materialize(linked.unionByName(alone), "op8-classes")
+        return common.result(common.attach(prints, classes, ["fp"], "n", max(1, prints.count())).select("doc_id", "text_hash", "fp", "root", "component_id"), "op8-rows")
 
 
 def keep_one(docs: DataFrame, *, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
