@@ -29,6 +29,16 @@ WORDS = 3
 CHUNK, PAIRS = 200_000, 1_000_000
 
 
+def majority(parts, n: int) -> int:
+    """The fingerprint of n 64-bit hashes, given as arrays: bit i is set if it is in over half of them."""
+    import numpy as np
+
+    ones = np.zeros(64, np.int64)
+    for h in parts:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None) -> int:
     """Bit i is set if it is in over half of the hashes of the text's shingles; 0 without a word."""
     import numpy as np
@@ -42,11 +52,7 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate([[0], ends])[:n].tolist()
     stops = (ends[-n:] - 1).tolist()
-    ones = np.zeros(64, np.int64)
-    for a in range(0, n, 65536):
-        h = np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[a : a + 65536], stops[a : a + 65536])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority((np.array([xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts[a : a + 65536], stops[a : a + 65536])], np.uint64) for a in range(0, n, 65536)), n)
 
 
 def _fingerprints(batches):
@@ -121,6 +127,36 @@ class Forest:
             if go.any():
                 todo.append((query[go], child[go]))
 
+    def earlier(self, radius: int, alike):
+        """For each code a code before it in its tree, within the radius, for which alike(query, node) holds: the first
+        that the search meets, of several of one step the nearest.  -1 without one."""
+        import numpy as np
+
+        found = np.full(len(self.codes), -1, np.int64)
+        todo = [(np.arange(len(self.codes)), self.root)]
+        while todo:
+            q, node = todo.pop()
+            if len(q) > PAIRS:
+                half = len(q) // 2
+                todo += [(q[half:], node[half:]), (q[:half], node[:half])]
+                continue
+            left = (found[q] < 0) & (q > node)
+            q, node = q[left], node[left]
+            d = np.bitwise_count(self.codes[q] ^ self.codes[node]).astype(np.int64)
+            near = np.flatnonzero(d <= radius)
+            near = near[alike(q[near], node[near])]
+            near = near[np.argsort(-d[near], kind="stable")]
+            found[q[near]] = node[near]  # the last of a query is the nearest
+            left = found[q] < 0
+            q, node, d = q[left], node[left], d[left]
+            fan = self.last[node] - self.first[node]
+            at = np.repeat(self.first[node] - np.concatenate([[0], np.cumsum(fan)])[:-1], fan) + np.arange(fan.sum())
+            query, child = np.repeat(q, fan), self.child[at]
+            go = (np.abs(self.edge[at] - np.repeat(d, fan)) <= radius) & (child < query)
+            if go.any():
+                todo.append((query[go], child[go]))
+        return found
+
 
 def unite(parent, a, b) -> None:
     """Joins the sets of a[i] and b[i] in a union-find forest whose roots are the smallest members."""
