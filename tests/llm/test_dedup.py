@@ -127,6 +127,29 @@ def test_a_group_of_near_copies_of_a_line(spark):
     assert got == sum(not x[2] for x in brute_lines(docs))
 
 
+def test_words_are_counted_in_a_sample_of_the_lines(spark):
+    df = spark.createDataFrame([(i, f"often a{i}\n often  b{i}") for i in range(2000)], "doc_id long, text string")
+    levels = lines.rarity_levels(df, "text")
+    # 4000 lines have the word: 1 + 2 * log2(4000) would be 25 and that of a sixteenth is 17.
+    assert 15 <= max(levels) <= 19 and sorted(levels)[-2] < 10
+
+
+def test_the_order_of_words_bears_on_no_line(spark, monkeypatch):
+    docs = near_docs(4)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for levels in ([0] * lines.BUCKETS, [b % 127 for b in range(lines.BUCKETS)]):
+        monkeypatch.setattr(lines, "rarity_levels", lambda *_, now=levels: now)
+        assert {(r["doc_id"], r["line_no"], r["removed"]) for r in lines.mark_lines(df).collect()} == set(brute_lines(docs))
+
+
+def test_words_are_made_distinct_below_no_lambda(spark, monkeypatch):
+    plans, write = {}, common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name, **more: (plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), write(df, name, **more))[1])
+    lines.mark_lines(spark.createDataFrame(near_docs(1), "doc_id long, text string"))
+    steps = plans["op7-sets"].split("\n")
+    assert [s for s in steps if "array_distinct(" in s] and not [s for s in steps if "array_distinct(" in s and "sort_array(" in s]
+
+
 def test_line_stage_runs_no_python(spark, odd):
     plan = lines.mark_lines(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
