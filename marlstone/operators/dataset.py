@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.formats import display
 from ..functions.missing import label_key
-from ..sources.codec import long_strings, long_text
+from ..sources.codec import long_strings, long_text, replaced
 from ..sources.datasource import column_indices, register
 from ..sources.files import Source, expand
 from ..sources.header import read_info
@@ -95,25 +95,26 @@ class Dataset:
         def parse(batches):
             import pyarrow as pa
 
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.int64()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.binary()]
             for batch in batches:
                 for path in batch.column("path").to_pylist():
                     with Source(path) as source:
-                        held, size = [], 0
-                        for n, (v, o, kind, content) in enumerate(long_strings(source, read_info(source, numeric_117=numeric_117))):
-                            held.append((path, v, o, kind, long_text(kind, content, encoding), content, n))
-                            size += len(content)
+                        held, size, info = [], 0, read_info(source, numeric_117=numeric_117)
+                        gone = replaced(source, info)
+                        for n, (v, o, kind, content) in enumerate(long_strings(source, info)):
+                            if gone is not None and gone[n]:
+                                continue
+                            held.append((path, v, o, kind, long_text(kind, content, encoding), content))
+                            size += len(content) + 256  # and what holds it
                             if size > 1 << 24:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
                                 held, size = [], 0
                         if held:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
 
-        names = ["_file", "v", "o", "kind", "text", "content", "n"]
+        names = ["_file", "v", "o", "kind", "text", "content"]
         paths = self.spark.createDataFrame([(f,) for f in self.files], "path string").repartition(max(1, len(self.files)))
-        rows = paths.mapInArrow(parse, "_file string, " + LONG + ", n long")
-        last = rows.groupBy("_file", "v", "o").agg(F.max_by(F.struct("kind", "text", "content"), "n").alias("x"))
-        return last.select(*(["_file"] if len(self.files) > 1 else []), "v", "o", "x.kind", "x.text", "x.content")
+        return paths.mapInArrow(parse, "_file string, " + LONG).select(*names[len(self.files) == 1 :])
 
     # Rows
 

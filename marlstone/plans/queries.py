@@ -109,7 +109,7 @@ def strl_documents_many_files(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(DISTINCT text) AS texts, sum(strlen(text) + 1) AS bytes FROM documents WHERE text <> ''")
 def long_strings_frame(spark, sf_dir):
-    ds = dataset(table(spark, sf_dir, "documents").coalesce(1), {"doc_id": "long", "text": "strL"})
+    ds = dataset(table(spark, sf_dir, "documents"), {"doc_id": "long", "text": "strL"})
     return ds.long_strings().agg(F.count(F.lit(1)).alias("n"), F.countDistinct("text").alias("texts"), F.sum(F.octet_length("content")).alias("bytes"))
 
 
