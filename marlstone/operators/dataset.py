@@ -231,7 +231,8 @@ def resolve_long_strings(df: DataFrame, texts: DataFrame, columns: list[str], *,
     for name in columns:
         side = texts.select(*([F.col("_file").alias("_marlstone_file")] if files else []), F.col("v").alias("_marlstone_v"), F.col("o").alias("_marlstone_o"), F.col("text").alias("_marlstone_text"))
         same = (F.col(f"`{name}`.v") == F.col("_marlstone_v")) & (F.col(f"`{name}`.o") == F.col("_marlstone_o"))
-        df = df.join(side, same & (F.col("_file") == F.col("_marlstone_file")) if files else same, "left")
+        # Spark takes the texts for as small as the list of files that they are parsed from, and would broadcast them all.
+        df = df.join(side.hint("merge"), same & (F.col("_file") == F.col("_marlstone_file")) if files else same, "left")
         shown = F.when(F.col(f"`{name}`").isNull(), F.lit("")).otherwise(F.coalesce("_marlstone_text", F.lit(dangling).cast("string")))
         df = df.withColumn(name, shown).drop("_marlstone_file", "_marlstone_v", "_marlstone_o", "_marlstone_text")
     return df

@@ -95,9 +95,9 @@ def strl_documents_v117_be(spark, sf_dir):
 
 @query(DOCUMENTS)
 def strl_documents_joined(spark, sf_dir):
-    one = table(spark, sf_dir, "documents").coalesce(1)  # pointers hold in their own file only
-    ds = dataset(one, {"doc_id": "long", "text": "strL"}, version=119, options={"strl": "pointer"})
-    return resolve_long_strings(ds.frame(), ds.long_strings(), ["text"])
+    """A file per partition, however many; pointers hold in their own file."""
+    ds = dataset(table(spark, sf_dir, "documents"), {"doc_id": "long", "text": "strL"}, version=119, options={"strl": "pointer", "file": True})
+    return resolve_long_strings(ds.frame(), ds.long_strings(), ["text"]).drop("_file")
 
 
 @query(DOCUMENTS)

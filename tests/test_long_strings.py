@@ -78,3 +78,20 @@ def test_long_strings_come_from_a_file_per_partition(spark, parts):
     texts = [t for _, t in rows if t]
     assert tuple(got) == (len(texts), len(set(texts)), sum(len(t.encode()) + 1 for t in texts))
     assert len(open_dta(spark, made[0]).files) == 3
+
+
+def test_documents_are_joined_from_a_file_per_partition(spark, parts):
+    folder, rows, made = parts
+    df = queries.QUERIES["strl_documents_joined"](spark, folder)
+    assert df.columns == ["doc_id", "text"] and sorted(map(tuple, df.collect())) == sorted(rows)
+    assert len(open_dta(spark, made[0]).files) == 3
+
+
+def test_texts_are_never_broadcast(spark, parts):
+    """Their size is taken for that of the list of files."""
+    folder, rows, _ = parts
+    for name in ("strl_documents_joined", "strl_documents_many_files"):
+        df = queries.QUERIES[name](spark, folder)
+        assert df.count() == len(rows) and df.collect()  # the plan that is shown is the last one, by real sizes
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
