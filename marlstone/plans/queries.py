@@ -171,10 +171,11 @@ def missing_double_bits(spark, sf_dir):
   CASE WHEN k = 0 THEN '.' WHEN k <= 26 THEN '.' || chr((96 + k)::INTEGER) END AS x__missing, CASE WHEN k = 0 THEN '.' WHEN k <= 26 THEN '.' || chr((96 + k)::INTEGER) END AS tag
 FROM (SELECT l_orderkey, l_linenumber, l_partkey % 30 AS k FROM lineitem)""")
 def missing_double(spark, sf_dir):
-    x = F.lit(2.0**1023) * (1 + (F.col("l_partkey") % 30) / 4096)
+    # A null of the table is NaN in the file, which is none of the missing values, and null again afterwards.
+    x = F.coalesce(F.lit(2.0**1023) * (1 + (F.col("l_partkey") % 30) / 4096), F.lit(float("nan")))
     ds = dataset(table(spark, sf_dir, "lineitem").withColumns({"x": x, "y": x}), {"l_orderkey": "long", "l_linenumber": "long", "x": "double"})
     # The tag that the file gives, and the one that the function gives for the same number.
-    rows = ds.frame(missing="struct").select("l_orderkey.value", F.col("l_linenumber.value").alias("l_linenumber"), F.col("x.value").alias("x"), F.col("x.missing").alias("x__missing")).withColumnRenamed("value", "l_orderkey")
+    rows = ds.frame(missing="struct").select("l_orderkey.value", F.col("l_linenumber.value").alias("l_linenumber"), F.when(~F.isnan("x.value"), F.col("x.value")).alias("x"), F.col("x.missing").alias("x__missing")).withColumnRenamed("value", "l_orderkey")
     code = F.when(F.col("x__missing").isNotNull(), F.lit(2.0**1023) * (1 + F.when(F.col("x__missing") == ".", 0).otherwise(F.ascii(F.substring("x__missing", 2, 1)) - 96) / 4096)).otherwise(F.col("x"))
     return rows.withColumn("tag", missing_tag(code, "double"))
 
